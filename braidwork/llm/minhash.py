@@ -6,13 +6,15 @@
    unbiased for Jaccard and of lower variance than as many independent minima.
 2. Documents with equal shingle sets form one class; only its smallest
    ``doc_id`` goes on, so thousands of copies cost one row.
-3. Signatures are cut into ``bands`` of ``rows`` values.  Each band bucket first
-   links its members to its smallest member (a star, never all pairs).
-4. Candidate links are confirmed on the full shingle sets, and components are
-   found over the confirmed links.
-5. Buckets whose members are still in different components are compared across
-   those components, so that no link between different texts is lost to the
-   star.  Components are then found over all confirmed links.
+3. Signatures are cut into ``bands`` of ``rows`` values.  Each band bucket draws
+   one member and compares the others with it (a star, never all pairs); the
+   buckets of a document draw differently, so a large group of near copies
+   grows together.  Links are confirmed on the full shingle sets, components
+   are found, and buckets that still hold several components draw again.
+4. The documents of buckets that hold several components after ``stars`` turns
+   are compared across these components, so that no link between different
+   texts is lost.  An exact prefix filter on their rarest shingles keeps this
+   from growing with the square of a family of copies just below the threshold.
 
 With 40 bands of 5 values a pair at the threshold of 0.75 misses every bucket
 with probability (1 - 0.75^5)^40 = 2e-5, and far less above it.
@@ -24,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as tx
 from ._graph import components
 from ._work import Workspace
 
+#: 64-bit words of the parity bitmap of a set.
+_BITMAP = 8
 SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
@@ -118,8 +122,62 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _star(members: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each bucket's members with one of them, drawn by hash, so that buckets draw differently."""
+    draw = F.xxhash64(F.lit(turn), "key", "rep")
+    head = members.groupBy("key").agg(*(F.min_by(c, draw).alias(f"head_{c}") for c in ("rep", "n_shingles", "component_id")))
+    both = members.join(head, "key").where("component_id != head_component_id").where(_alike("n_shingles", "head_n_shingles", percent))
+    return both.select(F.greatest("rep", "head_rep").alias("u"), F.least("rep", "head_rep").alias("v"))
+
+
+def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components among the members' documents, by their rarest shingles.
+
+    Sets with Jaccard of ``percent`` or more have a shingle in common among the
+    first ``n - ceil(percent * n / 100) + 1`` of each, in any one order; rarest
+    first, few documents share one.  A pair is left out where the places of the
+    common shingle, or the parity bitmaps of the sets (which differ in no more
+    bits than the sets in shingles), prove it below the threshold.
+    """
+    owner = members.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n"), F.max("component_id").alias("c"))
+    bits = [f"b{k}" for k in range(_BITMAP)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, x in enumerate(batch.column(3)):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                place = (own >> np.uint64(20)).astype(np.int64) % (64 * _BITMAP)
+                odd = np.packbits((np.bincount(place, minlength=64 * _BITMAP) & 1).astype(np.uint8)).view(np.int64)
+                same = [*(batch.column(i)[k].as_py() for i in range(3)), *odd.tolist()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(own), v)) for v in same), pa.array(own.view(np.int64))], names=["id", "n", "c", *bits, "shingle"])
+
+    rows = sets.join(owner, "id").select("id", "n", "c", "shingles").mapInArrow(run, "id long, n long, c long, " + "".join(f"{b} long, " for b in bits) + "shingle long")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    of_id = Window.partitionBy("id")
+    ranked = rows.join(often, "shingle").withColumn("at", F.row_number().over(of_id.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(of_id))
+    prefix = ranked.where(f"at <= n - floor(({percent} * n + 99) / 100) + 1").select("shingle", "id", "n", "c", "at", *bits)
+    a, b = prefix.alias("a"), prefix.alias("b")
+    need = f"{percent} * (a.n + b.n)"
+    placed = F.expr(f"{100 + percent} * (1 + least(a.n - a.at, b.n - b.at)) >= {need}")
+    apart = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in bits)
+    near = F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * (a.n + b.n)")
+    both = a.join(b, F.expr("a.shingle = b.shingle and a.id > b.id and a.c != b.c") & _alike("a.n", "b.n", percent) & placed & near)
+    return both.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+
+
+def _still_open(members: DataFrame, near: DataFrame) -> DataFrame:
+    """The buckets that have members of several components, with these components."""
+    placed = members.drop("component_id").join(near.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    split = placed.groupBy("key").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select("key")
+    return placed.join(split, "key", "left_semi").select("rep", "n_shingles", "key", "component_id")
+
+
 def near_duplicates(
-    docs: DataFrame, *, width: int = 5, percent: int = 75, permutations: int = 100, bands: int = 40, rows: int = 5
+    docs: DataFrame, *, width: int = 5, percent: int = 75, permutations: int = 100, bands: int = 40, rows: int = 5, stars: int = 2
 ) -> DataFrame:
     """Component of near-duplicates of each document.
 
@@ -138,24 +196,25 @@ def near_duplicates(
     known = sig.where("n_shingles > 0 and doc_id is not null")
     classes = work.save(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     exploded = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    heads = exploded.groupBy("key").agg(F.min("rep").alias("head"), F.min_by("n_shingles", "rep").alias("head_n"), F.count("*").alias("m")).where("m > 1")
-    members = work.save(exploded.join(heads.select("key", "head", "head_n"), "key"), "members")
-    alike = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
-    star = work.save(members.where("rep != head").where(alike("n_shingles", "head_n")).select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct(), "star")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    shared = exploded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    open_ = work.save(exploded.join(shared, "key", "left_semi").withColumn("component_id", F.col("rep")), "members")
+    wanted = open_.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = texts.join(wanted, "doc_id", "left_semi")
-    sets = work.save(_sets(texts, width), "sets")
-    first = work.save(_confirm(star, sets, percent), "confirmed")
-    near = components(first, work)
-    placed = members.join(near.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
-    split = placed.groupBy("key").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select("key")
-    open_ = work.save(placed.join(split, "key", "left_semi").select("key", "rep", "n_shingles", "component_id"), "open")
-    a, b = open_.alias("a"), open_.alias("b")
-    across = a.join(b, F.expr(f"a.key = b.key and a.rep > b.rep and a.component_id != b.component_id and 100 * least(a.n_shingles, b.n_shingles) >= {percent} * greatest(a.n_shingles, b.n_shingles)"))
-    across = across.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    second = work.save(_confirm(work.save(across, "across"), sets, percent), "confirmed")
-    final = components(near.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionAll(second.select("u", "v")), work)
+    sets = work.save(_sets(texts.join(wanted, "doc_id", "left_semi"), width), "sets")
+    near = tried = None
+    for turn in range(stars + 1):
+        pairs = (_star(open_, percent, turn) if turn < stars else _rest(open_, sets, percent)).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = work.save(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = work.save(_confirm(pairs, sets, percent), "confirmed")
+        if near is not None:
+            links = links.unionByName(near.select(F.col("id").alias("u"), F.col("component_id").alias("v")))
+        near = components(links, work)
+        if turn < stars:
+            open_ = work.save(_still_open(open_, near), "open")
+    final = near
     of_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     keys = ["k1", "k2", "n_shingles"]
     out = sig.select("doc_id", *keys).join(of_class, keys, "left")
