@@ -5,21 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import lang_id, minhash, mixing, quality, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = lang_id.held_out(F.col("doc_id"))
+    model = lang_id.fit(docs.where(~out))
+    return lang_id.identify(docs, *model).withColumn("held_out", out)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_read(spark, sf_dir, t) for t in ("documents", "labels"))
+    out = quality.held_out(F.col("doc_id"))
+    model = quality.fit(docs, labels.where(~out).select("doc_id", F.col("quality").alias("label")))
+    return quality.score(docs, model).withColumn("held_out", out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op9_mixing": op9_mixing,
+        "op10_quality": op10_quality,
     }
 
 
