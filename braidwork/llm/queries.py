@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, minhash, mixing, quality, suffix_dedup
+from . import chat_format, decontam, embed_dedup, lang_id, minhash, mixing, quality, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    roots = [str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")]
+    spark.sparkContext.environment["PYTHONPATH"] = ":".join(dict.fromkeys(x for x in roots if x))  # the workers import this package
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -21,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, *model).withColumn("held_out", out)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.octet_length("kept")
@@ -31,6 +38,15 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    return chat_format.format_preferences(turns, chat_format.neighbours(turns))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -42,15 +58,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", out)
 
 
+_QUERIES = (
+    op1_language_id, op2_embedding_near_dedup, op4_suffix_dedup, op5_minhash_near_dedup, op6_chat_format,
+    op7_decontamination, op9_mixing, op10_quality,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_language_id": op1_language_id,
-        "op4_suffix_dedup": op4_suffix_dedup,
-        "op5_minhash_near_dedup": op5_minhash_near_dedup,
-        "op9_mixing": op9_mixing,
-        "op10_quality": op10_quality,
-    }
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_format": chat_format.SQL}
