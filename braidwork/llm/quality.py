@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
+from ._counts import KIND, pack, total
 
 FEATURES = 1 << 17
 WIDTH = 4
@@ -58,8 +59,8 @@ def indicators(array: pa.Array, features: int = FEATURES) -> Iterator[np.ndarray
             yield distinct(np.concatenate([own_grams, words[bounds[k] : bounds[k + 1]]]))
 
 
-def class_counts(rows: DataFrame, features: int = FEATURES) -> DataFrame:
-    """``label, feature, n``: rows of ``(label, text)`` that have the feature; feature -1 counts rows."""
+def class_counts(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
+    """For each label, the rows of ``(label, text)`` that have each feature, and in the last place all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((2, features + 1), np.int64)
@@ -67,13 +68,10 @@ def class_counts(rows: DataFrame, features: int = FEATURES) -> DataFrame:
             for y, ids in zip(batch.column(0).to_pylist(), indicators(batch.column(1), features), strict=True):
                 count[y][ids] += 1
                 count[y][features] += 1
-        for y in (0, 1):
-            at = np.flatnonzero(count[y])
-            for k in range(0, len(at), 1 << 14):
-                own = at[k : k + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), y, np.int32)), pa.array(np.where(own == features, -1, own).astype(np.int32)), pa.array(count[y][own])], names=["label", "feature", "n"])
+        yield from pack("both", count.ravel())
 
-    return rows.mapInArrow(run, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    size = 2 * (features + 1)
+    return total(rows.mapInArrow(run, KIND), size).get("both", np.zeros(size, np.int64)).reshape(2, -1)
 
 
 def descend(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, *, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> np.ndarray:
@@ -139,16 +137,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES, sample:
     """
     rows = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int")).where("label in (0, 1) and doc_id is not null")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = texts.join(rows, "doc_id").select("label", "text")
-    table = class_counts(joined, features).toArrow()
-    count, total = np.zeros((2, features)), np.zeros(2)
-    y, f, n = (table[c].to_numpy() for c in ("label", "feature", "n"))
-    count[y[f >= 0], f[f >= 0]] = n[f >= 0]
-    total[y[f < 0]] = n[f < 0]
-    p, q = ((count[k] + 1) / (total[k] + 2) for k in (1, 0))
-    ratio = np.log(p / q) if total.min() > 0 else np.zeros(features)
-    share = (total[1] + 1) / (total.sum() + 2)
-    if total.min() == 0:
+    joined = texts.join(rows.hint("merge"), "doc_id").select("label", "text")
+    count = class_counts(joined, features).astype(float)
+    count, rows_of = count[:, :-1], count[:, -1]
+    p, q = ((count[k] + 1) / (rows_of[k] + 2) for k in (1, 0))
+    ratio = np.log(p / q) if rows_of.min() > 0 else np.zeros(features)
+    share = (rows_of[1] + 1) / (rows_of.sum() + 2)
+    if rows_of.min() == 0:
         return Model(ratio, np.zeros(features + 1), 0.0, float(np.log(share / (1 - share))))
     order = F.xxhash64(F.lit("sample"), "doc_id")
     few = [rows.where(F.col("label") == k).orderBy(order, "doc_id").limit(sample) for k in (0, 1)]
@@ -164,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES, sample:
     y = seen["label"].to_numpy()
     keep = np.random.default_rng(11).random(len(y)) < 0.75
     sides = np.where(y == 1, 1.0, -1.0)
-    balance = np.where(y == 1, total[1] / max((y == 1).sum(), 1), total[0] / max((y == 0).sum(), 1)) / total.sum() * len(y)
+    balance = np.where(y == 1, rows_of[1] / max((y == 1).sum(), 1), rows_of[0] / max((y == 0).sum(), 1)) / rows_of.sum() * len(y)
     chosen = np.flatnonzero(keep)
     weights = descend([sets[i] for i in chosen], sides[chosen], ratio, cost=np.sqrt(balance[chosen]))
     rest = np.flatnonzero(~keep) if (~keep).any() else chosen
