@@ -39,9 +39,9 @@ from ._work import Workspace
 
 GRAM = 32
 _POS = np.uint64((1 << 21) - 1)
-_ANCHOR = "uid long, id long, anchor long, window long, pos long, lead int, tail int"
-_WINDOW = "anchor long, window long, n long, uid long, id long, pos long, lead int, content binary"
-_RANGE = "uid long, id long, a long, b long"
+_ANCHOR = "uid int, id long, anchor long, window long, pos long, lead int, tail int"
+_WINDOW = "anchor long, window long, n long, uid int, id long, pos long, lead int, content binary"
+_RANGE = "uid int, id long, a long, b long"
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -222,10 +222,10 @@ def _counted(windows: DataFrame, length: int) -> DataFrame:
                 x = np.frombuffer(batch.column(7)[k].as_buffer(), np.uint8)
                 h = tx.rolling(x, length)
                 start = batch.column(5)[k].as_py() - batch.column(6)[k].as_py() + np.arange(len(h))
-                same = [pa.array(np.full(len(h), batch.column(c)[k].as_py())) for c in (0, 2, 3, 4, 5)]
+                same = [pa.array(np.full(len(h), batch.column(c)[k].as_py()), batch.schema.field(c).type) for c in (0, 2, 3, 4, 5)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(h.view(np.int64)), pa.array(start)], names=["anchor", "n", "uid", "id", "pos", "h", "a"])
 
-    rows = windows.mapInArrow(run, "anchor long, n long, uid long, id long, pos long, h long, a long")
+    rows = windows.mapInArrow(run, "anchor long, n long, uid int, id long, pos long, h long, a long")
     rows = rows.withColumn("offset", F.col("a") - F.col("pos"))  # a string near two equal anchors is one string
     keys = ["anchor", "h", "offset"]
     twice = rows.groupBy(*keys).agg(F.sum("n").alias("total")).where("total > 1").select(*keys)
@@ -277,12 +277,15 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, bucket_rows: int = 200
     spark = docs.sparkSession
     work = Workspace(spark, "suffix")
     text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    texts = docs.select(F.hash(text).alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     plain = texts.select("uid", "id", "text")
     every = work.save(_anchor_rows(plain.where(F.octet_length("text") >= length), length), "anchors")
-    again = every.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor")
+    again = work.save(every.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"), "again")
+    work.release()
     shared = work.save(every.join(again, "anchor", "left_semi"), "shared")
-    work.drop(every)
+    work.drop(every, again)
+    del every, again
+    work.release()
     keys = ["anchor", "window"]
     one = F.min(F.struct("uid", "id", "pos", "lead", "tail")).alias("one")
     windows = work.save(shared.groupBy(*keys).agg(F.count("*").alias("n"), one).select(*keys, "n", "one.*"), "windows")
@@ -290,18 +293,21 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, bucket_rows: int = 200
     groups = windows.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
     open_ = windows.join(groups, "anchor")
     wanted = work.save(open_, "open")
+    ranges = work.save(whole, "whole")
+    work.drop(shared)
+    work.release()
     sizes = wanted.agg(F.count("*").alias("n"), F.max("m").alias("m")).first()
+    work.release()
     content = work.save(_contents(plain, wanted.select(*keys, "n", "uid", "id", "pos", "lead", "tail")), "contents")
     large = wanted.where(F.col("m") > group_rows).select("anchor").distinct()
     buckets = max(sizes["n"] // bucket_rows, 1)
     small = content.join(large, "anchor", "left_anti") if (sizes["m"] or 0) > group_rows else content
     small = small.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     merged = small.groupBy("bucket").applyInArrow(lambda t: _merge_bucket(t, length, shard_rows), _RANGE)
-    ranges = whole.unionByName(merged)
     if (sizes["m"] or 0) > group_rows:
-        ranges = ranges.unionByName(_counted(content.join(large, "anchor", "left_semi").select(*content.columns), length))
-    ranges = work.save(ranges, "ranges")
-    work.drop(content)
+        merged = merged.unionByName(_counted(content.join(large, "anchor", "left_semi").select(*content.columns), length))
+    ranges = ranges.unionByName(work.save(merged, "merged"))
+    work.drop(content, windows, wanted)
     work.release()
     lists = ranges.groupBy("uid", "id").agg(F.collect_set(F.struct("a", "b")).alias("r"))
     return _cut(texts.join(lists, ["uid", "id"], "left").select("doc_id", "text", "r"))
