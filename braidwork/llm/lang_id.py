@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._counts import KIND, pack, total
+
 FEATURES = 1 << 16
 ORDER = 4
 _LETTER = re.compile(r"[^\W\d_]")
@@ -49,8 +51,8 @@ def ngrams(text: str, features: int = FEATURES) -> Iterator[np.ndarray]:
         yield (key >> np.uint32(32 - int(features).bit_length() + 1)).astype(np.int64)
 
 
-def train_counts(rows: DataFrame, features: int = FEATURES) -> DataFrame:
-    """``lang, bucket, n`` over all rows of ``(lang, text)``."""
+def train_counts(rows: DataFrame, features: int = FEATURES) -> dict[str, np.ndarray]:
+    """Each language's n-gram counts over all rows of ``(lang, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -60,12 +62,9 @@ def train_counts(rows: DataFrame, features: int = FEATURES) -> DataFrame:
                 for ids in ngrams(text, features):
                     np.add.at(count, ids, 1)
         for lang, count in held.items():
-            at = np.flatnonzero(count)
-            for k in range(0, len(at), 1 << 14):
-                own = at[k : k + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.astype(np.int32)), pa.array(count[own])], names=["lang", "bucket", "n"])
+            yield from pack(lang, count)
 
-    return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return total(rows.mapInArrow(run, KIND), features)
 
 
 def fit(rows: DataFrame, *, features: int = FEATURES, prior: float = 5000.0) -> tuple[list[str], np.ndarray, int]:
@@ -73,14 +72,12 @@ def fit(rows: DataFrame, *, features: int = FEATURES, prior: float = 5000.0) ->
 
     ``rows`` has ``lang`` and ``text``; rows with a null in either teach nothing.
     """
-    table = train_counts(rows.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string")), features).toArrow()
-    langs = sorted(set(table["lang"].to_pylist()))
-    counts = np.zeros((features, max(len(langs), 1)))
-    where = {x: i for i, x in enumerate(langs)}
-    counts[table["bucket"].to_numpy(), [where[x] for x in table["lang"].to_pylist()]] = table["n"].to_numpy()
-    total = np.maximum(counts.sum(axis=0), 1)
-    mean = 0.9 * (counts / total).mean(axis=1) + 0.1 / features
-    return langs, (counts + prior * mean[:, None]) / (total + prior), int(counts.sum(axis=0).argmax())
+    found = train_counts(rows.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string")), features)
+    langs = sorted(found)
+    counts = np.stack([found[x] for x in langs], axis=1).astype(float) if langs else np.zeros((features, 1))
+    whole = np.maximum(counts.sum(axis=0), 1)
+    mean = 0.9 * (counts / whole).mean(axis=1) + 0.1 / features
+    return langs, (counts + prior * mean[:, None]) / (whole + prior), int(counts.sum(axis=0).argmax())
 
 
 def proportions(table: np.ndarray, counts: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float]:
