@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, embed_dedup, lang_id, minhash, mixing, quality, suffix_dedup
+from . import chat_format, decontam, embed_dedup, lang_id, line_dedup, lm_score, minhash, mixing, quality, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the texts labelled as of good quality; background: all texts."""
+    docs, labels = (_read(spark, sf_dir, t) for t in ("documents", "labels"))
+    good = labels.where("quality = 1").select("doc_id").hint("merge")
+    return lm_score.score(docs, docs.join(good, "doc_id", "left_semi").select("text"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.octet_length("kept")
@@ -47,6 +54,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -59,8 +71,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
-    op1_language_id, op2_embedding_near_dedup, op4_suffix_dedup, op5_minhash_near_dedup, op6_chat_format,
-    op7_decontamination, op9_mixing, op10_quality,
+    op1_language_id, op2_embedding_near_dedup, op3_lm_score, op4_suffix_dedup, op5_minhash_near_dedup, op6_chat_format,
+    op7_decontamination, op8_line_dedup, op9_mixing, op10_quality,
 )
 
 
