@@ -109,6 +109,14 @@ def infer(table: np.ndarray, logs: np.ndarray, ids: np.ndarray) -> tuple[list[in
     return [chosen[i] for i in order], theta[order]
 
 
+def predict(text: str | None, table: np.ndarray, logs: np.ndarray, langs: list[str], common: int, features: int) -> tuple[list[int], np.ndarray]:
+    """As :func:`infer`, from a text; nothing for a text without a letter."""
+    if not (text and langs and _LETTER.search(text)):
+        return [], np.zeros(0)
+    ids = np.concatenate(list(ngrams(text, features)))
+    return infer(table, logs, ids) if len(ids) else ([common], np.array([1 / len(langs)]))
+
+
 def held_out(doc_id: Column, fold: int = 0, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
@@ -132,10 +140,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, common: int =
         for batch in batches:
             pred, score, names, shares = [], [], [], []
             for text in batch.column(1).to_pylist():
-                pick, theta = [], np.zeros(0)
-                if text and langs and _LETTER.search(text):
-                    ids = np.concatenate(list(ngrams(text, features)))
-                    pick, theta = infer(own, logs, ids) if len(ids) else ([common], np.array([1 / len(langs)]))
+                pick, theta = predict(text, own, logs, langs, common, features)
                 pred.append(langs[pick[0]] if pick else "und")
                 score.append(float(min(max(theta[0], 0.0), 1.0)) if pick else 0.0)
                 names.append([langs[k] for k in pick])
@@ -146,3 +151,21 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, common: int =
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
+
+
+def keep_identified(docs: DataFrame, langs: list[str], table: np.ndarray, common: int = 0, *, min_share: float = 0.25) -> DataFrame:
+    """The rows of ``docs`` in some language, all columns kept; no shuffle.
+
+    Rejected are null texts, texts without a letter, and texts of which no
+    language makes up ``min_share``.
+    """
+    features, at = table.shape[0], docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = np.log(shared.value)
+        for batch in batches:
+            found = [predict(text, shared.value, logs, langs, common, features) for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([len(pick) > 0 and float(theta[0]) >= min_share for pick, theta in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

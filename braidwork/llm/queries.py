@@ -70,9 +70,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", out)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _QUERIES = (
     op1_language_id, op2_embedding_near_dedup, op3_lm_score, op4_suffix_dedup, op5_minhash_near_dedup, op6_chat_format,
-    op7_decontamination, op8_line_dedup, op9_mixing, op10_quality,
+    op7_decontamination, op8_line_dedup, op9_mixing, op10_quality, pipeline,
 )
 
 
