@@ -8,7 +8,9 @@ of earlier passes, and no executor needs another one's local disk.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +43,7 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return a frame that reads the files."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
@@ -55,8 +57,7 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark delete the shuffle files of finished jobs."""
-        import gc
-
+        """Let Spark delete the shuffle files of finished jobs, which it does once their frames are collected."""
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner runs beside

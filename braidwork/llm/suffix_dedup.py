@@ -295,10 +295,12 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, bucket_rows: int = 200
     wanted = work.save(open_, "open")
     ranges = work.save(whole, "whole")
     work.drop(shared)
+    work.drop(windows)
+    del open_, whole, groups, shared
     work.release()
     sizes = wanted.agg(F.count("*").alias("n"), F.max("m").alias("m")).first()
-    work.release()
     content = work.save(_contents(plain, wanted.select(*keys, "n", "uid", "id", "pos", "lead", "tail")), "contents")
+    work.release()
     large = wanted.where(F.col("m") > group_rows).select("anchor").distinct()
     buckets = max(sizes["n"] // bucket_rows, 1)
     small = content.join(large, "anchor", "left_anti") if (sizes["m"] or 0) > group_rows else content
@@ -307,7 +309,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, bucket_rows: int = 200
     if (sizes["m"] or 0) > group_rows:
         merged = merged.unionByName(_counted(content.join(large, "anchor", "left_semi").select(*content.columns), length))
     ranges = ranges.unionByName(work.save(merged, "merged"))
-    work.drop(content, windows, wanted)
+    del merged, small
+    work.drop(content, wanted)
     work.release()
     lists = ranges.groupBy("uid", "id").agg(F.collect_set(F.struct("a", "b")).alias("r"))
     return _cut(texts.join(lists, ["uid", "id"], "left").select("doc_id", "text", "r"))
