@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 PIECE = 1 << 20
 U64 = np.uint64
@@ -167,3 +169,24 @@ def long_lists(lists: list[np.ndarray]) -> pa.Array:
     np.cumsum([len(x) for x in lists], out=offsets[1:])
     flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.ascontiguousarray(flat))))
+
+
+def packed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` and, for ``text``, its ``size`` and compressed bytes ``z``: for texts that are about to be shuffled."""
+    fields = [rows.schema[c] for c in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            data, offsets = buffers(batch.column(len(names)))
+            raw = memoryview(data)
+            z = [codec.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.diff(offsets)), pa.array([x.to_pybytes() for x in z], pa.binary())], names=[*names, "size", "z"])
+
+    return rows.select(*names, "text").mapInArrow(run, T.StructType([*fields, T.StructField("size", T.LongType()), T.StructField("z", T.BinaryType())]))
+
+
+def unpacked(size: pa.Array, z: pa.Array) -> pa.Array:
+    """The texts that :func:`packed` compressed, as bytes; null texts are empty."""
+    codec = pa.Codec("zstd")
+    return pa.array([codec.decompress(x.as_buffer(), n) if n else b"" for x, n in zip(z, size.to_pylist(), strict=True)], pa.large_binary())

@@ -28,10 +28,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Smaller Arrow batches: texts are long, and several batches are held at once on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 class Workspace:
     """Tables of one operator run, each written once and read back."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
@@ -58,6 +66,7 @@ class Workspace:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished jobs, which it does once their frames are collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(0.3)  # the cleaner runs beside
+        for _ in range(2):  # the first pass comes before Spark's listeners let go of the last query
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.7)

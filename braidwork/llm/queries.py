@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontam, embed_dedup, lang_id, line_dedup, lm_score, minhash, mixing, quality, suffix_dedup
+from ._work import bounded_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     roots = [str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")]
     spark.sparkContext.environment["PYTHONPATH"] = ":".join(dict.fromkeys(x for x in roots if x))  # the workers import this package
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -120,8 +120,8 @@ def _contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tx.buffers(batch.column(2))
-            lists = batch.column(3)
+            data, offsets = tx.buffers(tx.unpacked(batch.column(2), batch.column(3)))
+            lists = batch.column(4)
             w = lists.flatten()
             row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
             field = lambda k: w.field(k).to_numpy()
@@ -134,7 +134,7 @@ def _contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 ids = [batch.column(c).take(pa.array(row[own])) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(w.field(f)[own] for f in ("anchor", "window", "n")), *ids, w.field("pos")[own], w.field("lead")[own], pa.array(content, pa.binary())], names=["anchor", "window", "n", "uid", "id", "pos", "lead", "content"])
 
-    return texts.join(of_text, ["uid", "id"]).select("uid", "id", "text", "w").mapInArrow(run, _WINDOW)
+    return tx.packed(texts, ["uid", "id"]).join(of_text, ["uid", "id"]).select("uid", "id", "size", "z", "w").mapInArrow(run, _WINDOW)
 
 
 def aligned_bwt(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,9 +237,9 @@ def _cut(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            data, offsets = tx.buffers(batch.column(1))
+            data, offsets = tx.buffers(tx.unpacked(batch.column(1), batch.column(2)))
             raw, size, kept, spans = data.tobytes(), np.diff(offsets), [], []
-            lists = batch.column(2)
+            lists = batch.column(3)
             flat, at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
             a, b = flat.field("a").to_numpy(), flat.field("b").to_numpy()
             for k in range(batch.num_rows):
@@ -290,7 +290,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, bucket_rows: int = 200
     one = F.min(F.struct("uid", "id", "pos", "lead", "tail")).alias("one")
     windows = work.save(shared.groupBy(*keys).agg(F.count("*").alias("n"), one).select(*keys, "n", "one.*"), "windows")
     whole = shared.join(windows.where("n > 1").select(*keys), keys, "left_semi").select("uid", "id", (F.col("pos") - F.col("lead")).alias("a"), (F.col("pos") + F.col("tail")).alias("b"))
-    groups = windows.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    groups = windows.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").drop("least")
     open_ = windows.join(groups, "anchor")
     wanted = work.save(open_, "open")
     ranges = work.save(whole, "whole")
@@ -313,4 +313,5 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, bucket_rows: int = 200
     work.drop(content, wanted)
     work.release()
     lists = ranges.groupBy("uid", "id").agg(F.collect_set(F.struct("a", "b")).alias("r"))
-    return _cut(texts.join(lists, ["uid", "id"], "left").select("doc_id", "text", "r"))
+    rows = tx.packed(texts, ["uid", "id", "doc_id"])
+    return _cut(rows.join(lists, ["uid", "id"], "left").select("doc_id", "size", "z", "r"))
