@@ -189,4 +189,4 @@ def packed(rows: DataFrame, names: list[str]) -> DataFrame:
 def unpacked(size: pa.Array, z: pa.Array) -> pa.Array:
     """The texts that :func:`packed` compressed, as bytes; null texts are empty."""
     codec = pa.Codec("zstd")
-    return pa.array([codec.decompress(x.as_buffer(), n) if n else b"" for x, n in zip(z, size.to_pylist(), strict=True)], pa.large_binary())
+    return pa.array([codec.decompress(x.as_buffer(), n, asbytes=True) if n else b"" for x, n in zip(z, size.to_pylist(), strict=True)], pa.large_binary())
