@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text as tx
 from ._counts import KIND, pack, total
@@ -37,7 +38,7 @@ from ._work import Workspace
 _LOW = np.uint64((1 << 24) - 1)
 _WORDS = 4  # 64-bit words of a bitmap
 _BITS = [f"b{k}" for k in range(_WORDS)]
-_LINE = "doc long, line int, k1 long, k2 long, n int, prefix array<long>, " + ", ".join(f"{b} long" for b in _BITS)
+_LINE = "doc long, line int, k1 long, k2 long, n int, prefix array<int>, " + ", ".join(f"{b} long" for b in _BITS)
 _PAIR = "doc long, line int, doc2 long, line2 int"
 
 
@@ -102,8 +103,8 @@ def _lines(docs: DataFrame, place, percent: int) -> DataFrame:
                     maps = [np.bitwise_xor.reduceat(np.where(where == k, bit, np.uint64(0)), low) for k in range(_WORDS)]
                     size = n - (percent * n + 99) // 100 + 1
                     place_in = np.arange(len(words)) - np.repeat(low, n)
-                    kept = words[place_in < np.repeat(size, n)]
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(kept.view(np.int64)))
+                    kept = (spread[place_in < np.repeat(size, n)] >> np.uint64(32)).astype(np.uint32)  # equal words stay equal; the rest is for the verification
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(kept.view(np.int32)))
                     cols = [pa.array(ids[i + group // top]), pa.array((group % top).astype(np.int32)), *(pa.array(k.view(np.int64)) for k in (k1, k2)), pa.array(n.astype(np.int32)), lists, *(pa.array(m.view(np.int64)) for m in maps)]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc", "line", "k1", "k2", "n", "prefix", *_BITS])
 
@@ -120,7 +121,7 @@ def _spread(classes: DataFrame, parts: int) -> DataFrame:
             words = lists.flatten().to_numpy()
             row = np.repeat(np.arange(len(size)), size)
             at = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
-            to = (tx.mix(words.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            to = words.view(np.uint32).astype(np.int64) % parts
             order = np.argsort(to, kind="stable")
             bounds = np.searchsorted(to[order], np.arange(parts + 1))
             fields = [words, *(batch.column(k).to_numpy()[row] for k in (0, 1, 2)), at.astype(np.int32)]
@@ -133,7 +134,7 @@ def _spread(classes: DataFrame, parts: int) -> DataFrame:
 
 
 def _candidates(table: pa.Table, percent: int, most: int) -> pa.Table:
-    kinds = {"word": np.int64, "doc": np.int64, "line": np.int32, "n": np.int32, "at": np.int32}
+    kinds = {"word": np.int32, "doc": np.int64, "line": np.int32, "n": np.int32, "at": np.int32}
     word, doc, line, n, at = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table[c].combine_chunks()]).astype(np.int64) for c, k in kinds.items())
     order = np.lexsort((line, doc, word))
     word, doc, line, n, at = (x[order] for x in (word, doc, line, n, at))
@@ -160,10 +161,12 @@ def _candidates(table: pa.Table, percent: int, most: int) -> pa.Table:
         out.append((good + step, good))
     x, y = (np.concatenate([o[k] for o in out]) for k in (0, 1))
     found = np.unique(np.stack([doc[x], line[x], doc[y], line[y]], axis=1), axis=0) if len(x) else np.zeros((0, 4), np.int64)
-    many = word[bounds[:-1][long]]
-    cols = [np.concatenate([found[:, k], np.zeros(len(many), np.int64)]) for k in range(4)]
-    hot = np.concatenate([np.full(len(found), -1), many])
-    return pa.table({"doc": cols[0], "line": cols[1].astype(np.int32), "doc2": cols[2], "line2": cols[3].astype(np.int32), "word": hot})
+    listed = np.flatnonzero(np.repeat(long, size))
+    pair, entry = np.zeros(len(found), np.int64), np.zeros(len(listed), np.int64)
+    cols = {"doc": (found[:, 0], doc[listed]), "line": (found[:, 1], line[listed]), "doc2": (found[:, 2], entry), "line2": (found[:, 3], entry)}
+    cols |= {"listed": (pair, entry + 1), "word": (pair, word[listed]), "at": (pair, at[listed])}
+    wide = ("doc", "doc2")
+    return pa.table({k: np.concatenate(v).astype(np.int64 if k in wide else np.int32) for k, v in cols.items()})
 
 
 def _near(percent: int, a: str = "a", b: str = "b") -> Column:
@@ -178,8 +181,8 @@ def _whole(texts: DataFrame, wanted: DataFrame, place) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, asked = batch.column(0), batch.column(2)
-            for i, j, hashes, owner, line in _tokens(batch.column(1)):
+            ids, asked = batch.column(0), batch.column(3)
+            for i, j, hashes, owner, line in _tokens(tx.unpacked(batch.column(1), batch.column(2))):
                 top = max(int(line.max(initial=0)), int(pc.max(asked[i:j].flatten()).as_py() or 0)) + 1
                 want = np.sort(np.concatenate([(k - i) * top + np.array(asked[k].as_py(), np.int64) for k in range(i, j)]))
                 group = owner * top + line
@@ -191,7 +194,7 @@ def _whole(texts: DataFrame, wanted: DataFrame, place) -> DataFrame:
                     words += [w[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(docs, pa.int64())), pa.array(lines, pa.int32()), pa.array(words, pa.binary())], names=["doc", "line", "words"])
 
-    return texts.join(lists, "doc").select("doc", "text", "lines").mapInArrow(run, "doc long, line int, words binary")
+    return tx.packed(texts, ["doc"]).join(lists, "doc").select("doc", "size", "z", "lines").mapInArrow(run, "doc long, line int, words binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, place, percent: int, work: Workspace) -> DataFrame:
@@ -221,20 +224,22 @@ def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20
     place = spark.sparkContext.broadcast(word_order(docs, buckets))
     lines = work.save(_lines(docs, place, percent), "lines")
     first = [F.min(F.struct("doc", "line")).alias("first"), *(F.first(c).alias(c) for c in ("n", "prefix", *_BITS))]
+    work.release()
     classes = work.save(lines.groupBy("k1", "k2").agg(*first).select("k1", "k2", "first.*", "n", "prefix", *_BITS), "classes")
+    work.release()
     entries = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(math.ceil(entries / part_entries), 1)
-    found = _spread(classes, parts).groupBy("part").applyInArrow(lambda t: _candidates(t, percent, most), _PAIR + ", word long")
+    found = _spread(classes, parts).groupBy("part").applyInArrow(lambda t: _candidates(t, percent, most), _PAIR + ", listed int, word int, at int")
     found = work.save(found, "candidates")
-    pairs = found.where("word = -1").select("doc", "line", "doc2", "line2").distinct()
+    work.release()
+    pairs = found.where("listed = 0").select("doc", "line", "doc2", "line2").distinct()
     maps = classes.select("doc", "line", "n", *_BITS)
     a, b = maps.alias("a"), maps.alias("b")
     both = pairs.alias("p").join(a, F.expr("p.doc = a.doc and p.line = a.line")).join(b, F.expr("p.doc2 = b.doc and p.line2 = b.line"))
     pairs = work.save(both.where(_near(percent)).select("p.*"), "pairs")
     gone = work.save(_verify(pairs, docs, place, percent, work), "gone")
     work.release()
-    hot = found.where("word != -1").select("word").distinct()
-    listed = classes.select("doc", "line", "n", *_BITS, F.posexplode("prefix").alias("at", "word")).join(hot, "word")
+    listed = found.where("listed = 1").select("word", "doc", "line", "at").join(maps, ["doc", "line"])
     open_ = listed.join(gone, ["doc", "line"], "left_anti")
     earlier = F.expr("a.word = b.word and (b.doc < a.doc or b.doc = a.doc and b.line < a.line) and b.n * 100 >= a.n * {p} and a.n * 100 >= b.n * {p} and {q} * least(a.n - a.at, b.n - b.at) >= {p} * (a.n + b.n)".format(p=percent, q=100 + percent))
     rest = open_.alias("a").join(listed.alias("b"), earlier & _near(percent)).selectExpr("a.doc", "a.line", "b.doc as doc2", "b.line as line2").distinct()
@@ -260,10 +265,29 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     texts = docs.select(doc.alias("doc"), F.col("text").cast("string").alias("text"))
     lists = repeated_lines(texts, **how).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    kept = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    out = docs.select(*kept, doc.alias("__doc")).join(lists.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
-    parts = F.split(F.col("text").cast("string"), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.size("removed") > 0, left).otherwise(F.col("text").cast("string")))
-    return out.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    kept = [c for c in docs.columns if c not in ("n_lines", "removed", "text")]
+    rows = docs.select(*kept, F.col("text").cast("string").alias("text"), doc.alias("__doc"))
+    out = tx.packed(rows, [*kept, "__doc"]).join(lists.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
+    return out.mapInArrow(_cut(len(kept)), _cut_schema(docs, kept))
+
+
+def _cut_schema(docs: DataFrame, kept: list[str]) -> T.StructType:
+    return T.StructType([*(docs.schema[c] for c in kept), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
+
+
+def _cut(n: int):
+    """Takes ``n`` columns, then size, compressed text and the removed lines' numbers; gives the columns and what is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, count = [], []
+            null = batch.column(n).is_null().to_pylist()
+            asked = batch.column(n + 2).to_pylist()
+            for x, none, gone in zip(tx.unpacked(batch.column(n).fill_null(0), batch.column(n + 1)), null, asked, strict=True):
+                lines = x.as_py().split(b"\n")
+                count.append(0 if none else len(lines))
+                drop = set(gone or ())
+                texts.append(None if none else b"\n".join(y for k, y in enumerate(lines) if k not in drop) if drop else x.as_py())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array([x or [] for x in asked], pa.list_(pa.int32()))], names=[*batch.schema.names[:n], "text", "n_lines", "removed"])
+
+    return run
