@@ -60,8 +60,10 @@ class Items:
     ids: np.ndarray
     bags: list[tuple[np.ndarray, np.ndarray]]
     prints: np.ndarray
+    words: np.ndarray
     by_words: dict[int, np.ndarray]
     known: dict[int, np.ndarray] = field(default_factory=dict)
+    sizes: dict[int, list[list[int]]] = field(default_factory=dict)
     filters: dict[int, np.ndarray] = field(default_factory=dict)
 
 
@@ -82,18 +84,25 @@ def build(ids: list[int], texts: list[str]) -> Items:
     hashes, _, owner = tx.words(np.frombuffer(b"".join(raw), np.uint8), offsets)
     bounds = np.searchsorted(owner, np.arange(len(raw) + 1))
     keep, bags, prints, by_words, known = [], [], [], defaultdict(list), defaultdict(list)
+    sizes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
     for k in range(len(raw)):
         own = hashes[bounds[k] : bounds[k + 1]]
         if len(own):
             shingles = _rolled(own, min(len(own), 5))
             by_words[len(own)].append(len(keep))
             known[min(len(own), 5)].append(shingles)
+            for x in shingles.tolist():
+                sizes[min(len(own), 5)][x].add(len(own))
             keep.append(ids[k])
             bags.append(np.unique(shingles, return_counts=True))
             prints.append(fingerprints(shingles, len(shingles))[0])
-    out = Items(np.array(keep, np.int64), bags, np.array(prints, np.uint64), {n: np.array(v) for n, v in by_words.items()})
+    words = np.zeros(len(keep), np.int64)
+    for n, v in by_words.items():
+        words[v] = n
+    out = Items(np.array(keep, np.int64), bags, np.array(prints, np.uint64), words, {n: np.array(v) for n, v in by_words.items()})
     for width, parts in known.items():
         out.known[width] = np.unique(np.concatenate(parts))
+        out.sizes[width] = [sorted(sizes[width][x]) for x in out.known[width].tolist()]
         out.filters[width] = np.zeros(1 << 20, bool)
         out.filters[width][out.known[width] >> np.uint64(44)] = True
     return out
@@ -107,27 +116,36 @@ def _similar(shingles: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> tuple[
     return least, int(counts.sum() + bag[1].sum()) - least
 
 
-def leaks(hashes: np.ndarray, items: Items, *, percent: int, radius: int, blocks: int) -> list[tuple[int, float, int, int, int]]:
-    """``(item, similarity, first word, words, windows)``: each item's best window, the first on ties."""
-    hits: dict[int, np.ndarray] = {}
+def _hits(hashes: np.ndarray, owner: np.ndarray, items: Items) -> dict[int, dict[int, list[int]]]:
+    """For each text with a known shingle, and each size of an item that has it, the words where it begins."""
+    out: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for width, known in items.known.items():
         rolled = _rolled(hashes, width)
         maybe = np.flatnonzero(items.filters[width][rolled >> np.uint64(44)])
+        maybe = maybe[owner[maybe] == owner[maybe + width - 1]]
         at = np.minimum(np.searchsorted(known, rolled[maybe]), len(known) - 1)
-        maybe = maybe[known[at] == rolled[maybe]]
-        if len(maybe):
-            hits[width] = maybe
+        same = known[at] == rolled[maybe]
+        for k, x in zip(maybe[same].tolist(), at[same].tolist(), strict=True):
+            for words in items.sizes[width][x]:
+                out[int(owner[k])][words].append(k)
+    return out
+
+
+def leaks(hashes: np.ndarray, hits: dict[int, list[int]], items: Items, *, percent: int, radius: int, blocks: int) -> list[tuple[int, float, int, int, int]]:
+    """``(item, similarity, first word, words, windows)``: each item's best window, the first on ties.
+
+    ``hits`` has the words at which a shingle of an item of each size begins.
+    """
     out: dict[int, list] = {}
     part = 64 // blocks
     mask = np.uint64((1 << part) - 1)
     shifts = [np.uint64(part * b) for b in range(blocks)]
-    for words, members in items.by_words.items():
-        width = min(words, 5)
-        if width not in hits or len(hashes) < words:
-            continue
+    every = {width: _rolled(hashes, width) for width in {min(words, 5) for words in hits}}
+    for words, places in sorted(hits.items()):
+        members, width = items.by_words[words], min(words, 5)
         size = words - width + 1
-        rolled = _rolled(hashes, width)
-        starts = np.unique((hits[width][:, None] - np.arange(size)).ravel())
+        rolled = every[width]
+        starts = np.unique((np.array(places)[:, None] - np.arange(size)).ravel())
         starts = starts[(starts >= 0) & (starts <= len(hashes) - words)]
         runs = np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1) if len(starts) else []
         for run in runs:
@@ -148,17 +166,18 @@ def leaks(hashes: np.ndarray, items: Items, *, percent: int, radius: int, blocks
                     held[2] += 1
                     if least / most > held[0]:
                         held[:2] = [least / most, start]
-    size_of = {int(k): n for n, v in items.by_words.items() for k in v}
-    return [(k, s, at, size_of[k], n) for k, (s, at, n) in sorted(out.items())]
+    return [(k, s, at, int(items.words[k]), n) for k, (s, at, n) in sorted(out.items())]
 
 
 def _each(array: pa.Array, items: Items, how: dict) -> Iterator[list]:
     data, offsets = tx.buffers(array)
     for i, j in tx.slices(offsets):
         hashes, _, owner = tx.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        bounds = np.searchsorted(owner, np.arange(j - i + 1))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield leaks(hashes[a:b], items, **how) if b > a else []
+        bounds = np.searchsorted(owner, np.arange(j - i + 1)).tolist()
+        found = _hits(hashes, owner, items)
+        for k in range(j - i):
+            a, b = bounds[k], bounds[k + 1]
+            yield leaks(hashes[a:b], {words: [x - a for x in at] for words, at in found[k].items()}, items, **how) if k in found else []
 
 
 def _passes(benchmark: DataFrame, pass_bytes: int) -> Iterator[Items]:
