@@ -10,7 +10,7 @@ lower means more like the target.
 Bigrams are far too many to broadcast, and grow with the corpus.  They are
 therefore scored where they are counted: each block of texts sends its bigram
 occurrences to the partition of their hash, and that partition counts them
-under both models and returns a sum for each document.  No bigram can be hot
+under both models and returns a sum for each document, packed by block.  No bigram can be hot
 there, because the pairs of the ``core`` most frequent words are counted apart,
 as two dense ``core x core`` tables of fixed size that are broadcast; any other
 bigram has a word outside the core, and so at most ``1 / core`` of all words.
@@ -30,7 +30,8 @@ from . import _text as tx
 from ._counts import KIND, pack, total
 from ._work import Workspace
 
-_BLOB = "part int, flag int, uids binary, owners binary, keys binary"
+_BLOB = "part int, flag int, block long, uids binary, owners binary, keys binary"
+_SUMS = "block long, uids binary, target binary, background binary"
 _PART = "uid long, doc_id long, n_tokens long, target double, background double"
 
 
@@ -102,15 +103,28 @@ def _score_part(table: pa.Table, lexicon: Lexicon, prior: float) -> pa.Table:
     flags = table["flag"].to_numpy()
     get = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name].combine_chunks()]
     keys, owners, uids = get("keys", np.uint32), get("owners", np.uint32), get("uids", np.int64)
-    flag = np.repeat(flags, [len(k) for k in keys])
-    of = np.concatenate([u[o] for u, o in zip(uids, owners, strict=True)])
+    size = [len(k) for k in keys]
+    flag = np.repeat(flags, size)
     kinds, which = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.stack([np.bincount(which, weights=flag == k, minlength=len(kinds)) for k in (0, 1)], axis=1)
-    loss = lexicon.losses(kinds, counts, prior)[which[flag == 0]]
-    docs, place = np.unique(of[flag == 0], return_inverse=True)
-    sums = [np.bincount(place, weights=loss[:, k], minlength=len(docs)) for k in (0, 1)]
+    loss, at, out = lexicon.losses(kinds, counts, prior), 0, []
+    for k, (own, docs) in enumerate(zip(owners, uids, strict=True)):
+        if flags[k] == 0:
+            mine = loss[which[at : at + size[k]]]
+            sums = [np.bincount(own, weights=mine[:, c], minlength=len(docs)).tobytes() for c in (1, 0)]
+            out.append((table["block"][k].as_py(), docs.tobytes(), *sums))
+        at += size[k]
+    block, *packed = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.table({"block": pa.array(block, pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in zip(("uids", "target", "background"), packed, strict=True)}})
+
+
+def _add_block(table: pa.Table) -> pa.Table:
+    """The sums that a block's texts got from all partitions."""
+    get = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[name].combine_chunks()])
+    docs, place = np.unique(get("uids", np.int64), return_inverse=True)
+    sums = [np.bincount(place, weights=get(c, np.float64), minlength=len(docs)) for c in ("target", "background")]
     n = len(docs)
-    return pa.table({"uid": docs, "doc_id": pa.nulls(n, pa.int64()), "n_tokens": np.zeros(n, np.int64), "target": sums[1], "background": sums[0]})
+    return pa.table({"uid": docs, "doc_id": pa.nulls(n, pa.int64()), "n_tokens": np.zeros(n, np.int64), "target": sums[0], "background": sums[1]})
 
 
 def score(docs: DataFrame, target: DataFrame, *, vocabulary: int = 65535, core: int = 1024, prior: float = 50.0, part_words: int = 2_000_000) -> DataFrame:
@@ -136,6 +150,7 @@ def score(docs: DataFrame, target: DataFrame, *, vocabulary: int = 65535, core:
     top = words.orderBy((F.col("background") + F.col("target")).desc(), "word").limit(vocabulary).toArrow()
     lexicon = Lexicon(top["word"].to_numpy().astype(np.int64).view(np.uint64), np.stack([top["background"].to_numpy(), top["target"].to_numpy()], axis=1), totals)
     work.drop(words)
+    core = min(core, len(lexicon.counts))
     shared = spark.sparkContext.broadcast(lexicon)
     parts = max(math.ceil(int(totals.sum()) / part_words), 1)
 
@@ -170,10 +185,10 @@ def score(docs: DataFrame, target: DataFrame, *, vocabulary: int = 65535, core:
                 for p in np.flatnonzero(np.diff(bounds)).tolist():
                     mine = order[bounds[p] : bounds[p + 1]]
                     docs_here, at = np.unique(of[mine], return_inverse=True)
-                    rows.append((p % parts, p // parts, uids[i + docs_here].tobytes(), at.astype(np.uint32).tobytes(), keys[mine].tobytes()))
+                    rows.append((p % parts, p // parts, int(uids[i]) ^ int(uids[j - 1]), uids[i + docs_here].tobytes(), at.astype(np.uint32).tobytes(), keys[mine].tobytes()))
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:2]), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["part", "flag", "uids", "owners", "keys"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * 3, strict=True))], names=["part", "flag", "block", "uids", "owners", "keys"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = -np.log(shared.value.unigrams)
@@ -188,7 +203,8 @@ def score(docs: DataFrame, target: DataFrame, *, vocabulary: int = 65535, core:
                 sums = [np.bincount(of[common], weights=loss[:, k], minlength=j - i) + np.bincount(owner[head], weights=first[ids[head], k], minlength=j - i) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(1)[i:j], batch.column(3)[i:j], pa.array(n.astype(np.int64)), pa.array(sums[1].astype(float)), pa.array(sums[0].astype(float))], names=["uid", "doc_id", "n_tokens", "target", "background"])
 
-    sent = both.mapInArrow(send, _BLOB).groupBy("part").applyInArrow(lambda t: _score_part(t, shared.value, prior), _PART)
+    sent = both.mapInArrow(send, _BLOB).groupBy("part").applyInArrow(lambda t: _score_part(t, shared.value, prior), _SUMS)
+    sent = sent.groupBy("block").applyInArrow(_add_block, _PART)
     held = own.mapInArrow(near, _PART).withColumn("rows", F.lit(1)).unionByName(sent.withColumn("rows", F.lit(0)))
     sums = held.groupBy("uid").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), *(F.sum(c).alias(c) for c in ("rows", "n_tokens", "target", "background")))
     mean = lambda c: F.when(F.col("n_tokens") > 0, F.round(F.col(c) / F.col("n_tokens"), 9))
