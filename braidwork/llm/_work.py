@@ -8,6 +8,7 @@ of earlier passes, and no executor needs another one's local disk.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -66,7 +67,9 @@ class Workspace:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished jobs, which it does once their frames are collected."""
-        for _ in range(2):  # the first pass comes before Spark's listeners let go of the last query
+        with contextlib.suppress(Exception):  # listeners hold a query until they have told of its end
+            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        for _ in range(3):
             gc.collect()
             self.spark._jvm.System.gc()
-            time.sleep(0.7)
+            time.sleep(0.3)

@@ -4,7 +4,7 @@ A byte is removed if a string of ``length`` bytes that covers it also starts
 anywhere else in the corpus.  Sorting all suffixes of a corpus is not possible
 in one place, so suffixes meet only where they can be equal:
 
-1. Anchors.  Of every run of ``length`` bytes the 32-byte gram with the least
+1. Anchors.  Of every run of ``length`` bytes the 64-byte gram with the least
    hash (leftmost on ties) is an anchor.  Equal strings have equal anchors at
    equal offsets, so a repeated string always shares an anchor with its twin.
    Anchors that occur once are done with.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import _text as tx
 from ._work import Workspace
 
-GRAM = 32
+GRAM = 64
 _POS = np.uint64((1 << 21) - 1)
 _ANCHOR = "uid int, id long, anchor long, window long, pos long, lead int, tail int"
 _WINDOW = "anchor long, window long, n long, uid int, id long, pos long, lead int, content binary"
