@@ -172,7 +172,7 @@ def long_lists(lists: list[np.ndarray]) -> pa.Array:
 
 
 def packed(rows: DataFrame, names: list[str]) -> DataFrame:
-    """``names`` and, for ``text``, its ``size`` (null for null) and compressed bytes ``z``: for texts that are about to be shuffled."""
+    """``names`` and, for ``text``, its length ``__size`` (null for null) and compressed bytes ``__z``: for texts that are about to be shuffled."""
     fields = [rows.schema[c] for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +182,9 @@ def packed(rows: DataFrame, names: list[str]) -> DataFrame:
             raw = memoryview(data)
             z = [codec.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             size = pa.array(np.diff(offsets), mask=batch.column(len(names)).is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], size, pa.array([x.to_pybytes() for x in z], pa.binary())], names=[*names, "size", "z"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], size, pa.array([x.to_pybytes() for x in z], pa.binary())], names=[*names, "__size", "__z"])
 
-    return rows.select(*names, "text").mapInArrow(run, T.StructType([*fields, T.StructField("size", T.LongType()), T.StructField("z", T.BinaryType())]))
+    return rows.select(*names, "text").mapInArrow(run, T.StructType([*fields, T.StructField("__size", T.LongType()), T.StructField("__z", T.BinaryType())]))
 
 
 def unpacked(size: pa.Array, z: pa.Array) -> pa.Array:

@@ -11,8 +11,8 @@ on any order of work.
 2. Each line gives its size, a key of its set, its prefix (the words of which
    two similar lines must share one) and a parity bitmap.  Equal sets are one
    class with its first line; thousands of equal lines cost one row.
-3. Prefix entries meet by word in packed blocks.  The length filter and the
-   positions of the common word rule out most pairs; in a word's list of more
+3. Prefix entries meet by word in packed blocks.  The length filter, the
+   positions of the common word and a folded bitmap rule out most pairs; in a word's list of more
    than ``most`` lines, each is first compared with the earliest only.
 4. Candidates that the bitmaps do not rule out are verified on the whole
    lines.  Lines of long lists that found no earlier match are then compared
@@ -21,6 +21,7 @@ on any order of work.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -124,26 +125,28 @@ def _spread(classes: DataFrame, parts: int) -> DataFrame:
             to = words.view(np.uint32).astype(np.int64) % parts
             order = np.argsort(to, kind="stable")
             bounds = np.searchsorted(to[order], np.arange(parts + 1))
-            fields = [words, *(batch.column(k).to_numpy()[row] for k in (0, 1, 2)), at.astype(np.int32)]
+            fields = [words, *(batch.column(k).to_numpy()[row] for k in (0, 1, 2)), at.astype(np.int32), batch.column(4).to_numpy()[row]]
             fields = [f[order] for f in fields]
             some = np.flatnonzero(np.diff(bounds)).tolist()
             packed = [pa.array([f[bounds[p] : bounds[p + 1]].tobytes() for p in some], pa.binary()) for f in fields]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], names=["part", "word", "doc", "line", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], names=["part", "word", "doc", "line", "n", "at", "bits"])
 
-    return classes.select("doc", "line", "n", "prefix").mapInArrow(run, "part int, word binary, doc binary, line binary, n binary, at binary")
+    small = functools.reduce(Column.bitwiseXOR, [F.col(b) for b in _BITS])  # a parity bitmap too
+    return classes.select("doc", "line", "n", "prefix", small.alias("bits")).mapInArrow(run, "part int, word binary, doc binary, line binary, n binary, at binary, bits binary")
 
 
 def _candidates(table: pa.Table, percent: int, most: int) -> pa.Table:
-    kinds = {"word": np.int32, "doc": np.int64, "line": np.int32, "n": np.int32, "at": np.int32}
-    word, doc, line, n, at = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table[c].combine_chunks()]).astype(np.int64) for c, k in kinds.items())
+    kinds = {"word": np.int32, "doc": np.int64, "line": np.int32, "n": np.int32, "at": np.int32, "bits": np.uint64}
+    word, doc, line, n, at, bits = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table[c].combine_chunks()]).astype(np.uint64 if c == "bits" else np.int64) for c, k in kinds.items())
     order = np.lexsort((line, doc, word))
-    word, doc, line, n, at = (x[order] for x in (word, doc, line, n, at))
+    word, doc, line, n, at, bits = (x[order] for x in (word, doc, line, n, at, bits))
     bounds = np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(word)]
     size = np.diff(bounds)
     long = size > most
 
     def able(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        near = (100 + percent) * np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) <= (100 - percent) * (n[x] + n[y])
+        near &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
         return near & ((100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y]))
 
     out = []
@@ -194,7 +197,7 @@ def _whole(texts: DataFrame, wanted: DataFrame, place) -> DataFrame:
                     words += [w[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(docs, pa.int64())), pa.array(lines, pa.int32()), pa.array(words, pa.binary())], names=["doc", "line", "words"])
 
-    return tx.packed(texts, ["doc"]).join(lists, "doc").select("doc", "size", "z", "lines").mapInArrow(run, "doc long, line int, words binary")
+    return tx.packed(texts, ["doc"]).join(lists, "doc").select("doc", "__size", "__z", "lines").mapInArrow(run, "doc long, line int, words binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, place, percent: int, work: Workspace) -> DataFrame:
@@ -217,7 +220,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, place, percent: int, work: Works
     return rows.select("doc", "line", "words", "words2").mapInArrow(run, "doc long, line int").distinct()
 
 
-def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20, most: int = 64, part_entries: int = 1 << 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20, most: int = 256, part_entries: int = 1 << 20) -> DataFrame:
     """``doc, line`` of each line that is similar to an earlier one; ``docs`` has ``doc`` and ``text``."""
     spark = docs.sparkSession
     work = Workspace(spark, "lines")

@@ -134,7 +134,7 @@ def _contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 ids = [batch.column(c).take(pa.array(row[own])) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(w.field(f)[own] for f in ("anchor", "window", "n")), *ids, w.field("pos")[own], w.field("lead")[own], pa.array(content, pa.binary())], names=["anchor", "window", "n", "uid", "id", "pos", "lead", "content"])
 
-    return tx.packed(texts, ["uid", "id"]).join(of_text, ["uid", "id"]).select("uid", "id", "size", "z", "w").mapInArrow(run, _WINDOW)
+    return tx.packed(texts, ["uid", "id"]).join(of_text, ["uid", "id"]).select("uid", "id", "__size", "__z", "w").mapInArrow(run, _WINDOW)
 
 
 def aligned_bwt(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,4 +314,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, bucket_rows: int = 200
     work.release()
     lists = ranges.groupBy("uid", "id").agg(F.collect_set(F.struct("a", "b")).alias("r"))
     rows = tx.packed(texts, ["uid", "id", "doc_id"])
-    return _cut(rows.join(lists, ["uid", "id"], "left").select("doc_id", "size", "z", "r"))
+    return _cut(rows.join(lists, ["uid", "id"], "left").select("doc_id", "__size", "__z", "r"))
