@@ -138,3 +138,20 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, cell_rows: int
     out = rows.select("vec_id", "sound", *keys).join(of_class, [*keys, "sound"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), sound AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT v.vec_id, (SELECT COUNT(*) FROM links WHERE x = v.vec_id) AS n_links, MIN(r.y) AS component_id, MIN(r.y) = v.vec_id AS kept
+FROM v JOIN reach r ON r.x = v.vec_id GROUP BY v.vec_id
+"""
