@@ -18,6 +18,7 @@ from datetime import datetime, timezone
 from typing import Any
 
 from ..config import get_config
+from ..log import get_logger
 from ..plans.node import Edge, Node, PreprocessMode, default_preprocess
 from ..plans.plan import Plan, RunStatus, Vertex
 from .cache import CacheMode
@@ -63,8 +64,7 @@ class Run:
     ):
         self.spark, self.preprocess = spark, preprocess
         self.workers = max_workers or get_config("node_run_max_workers") or 1
-        if debug:
-            log.setLevel(logging.DEBUG)
+        get_logger(debug)
         self.plan = Plan(target, spark=spark, inputs=inputs, parameters=parameters, cache=cache, pandas_on_spark_use_pandas=pandas_on_spark_use_pandas)
         self.results: dict[Unit, Result] = {}
         self.peak = 0

@@ -324,3 +324,17 @@ def test_no_extra_jobs(spark):
     assert list(tracker.getJobIdsForGroup("quiet")) == []
     spark.sparkContext._jsc.sc().clearJobGroup()
     assert out.first()["n"] == 6
+
+
+def test_debug_tells_of_steps(capfd):
+    import logging
+
+    from braidwork.log import ColorFormatter
+
+    made("told").run(debug=True)
+    record = logging.LogRecord("braidwork", logging.ERROR, "", 0, "m", None, None)
+    assert "\033[31mERROR" in ColorFormatter(True).format(record) and "\033" not in ColorFormatter(False).format(record)
+    logger = logging.getLogger("braidwork")
+    assert logger.level == logging.DEBUG and len(logger.handlers) == 1
+    logger.setLevel(logging.NOTSET)
+    logger.handlers.clear()
