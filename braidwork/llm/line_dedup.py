@@ -138,31 +138,42 @@ def _spread(classes: DataFrame, parts: int) -> DataFrame:
 def _candidates(table: pa.Table, percent: int, most: int) -> pa.Table:
     kinds = {"word": np.int32, "doc": np.int64, "line": np.int32, "n": np.int32, "at": np.int32, "bits": np.uint64}
     word, doc, line, n, at, bits = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table[c].combine_chunks()]).astype(np.uint64 if c == "bits" else np.int64) for c, k in kinds.items())
-    order = np.lexsort((line, doc, word))
+    order = np.lexsort((n, word))
     word, doc, line, n, at, bits = (x[order] for x in (word, doc, line, n, at, bits))
     bounds = np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(word)]
     size = np.diff(bounds)
     long = size > most
 
     def able(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        near = (100 + percent) * np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) <= (100 - percent) * (n[x] + n[y])
-        near &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-        return near & ((100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y]))
+        near = (100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y])
+        x, y = x[near], y[near]
+        near[near] = (100 + percent) * np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) <= (100 - percent) * (n[x] + n[y])
+        return near
 
     out = []
-    head = np.repeat(bounds[:-1], size)
-    x = np.flatnonzero(np.repeat(long, size) & (head != np.arange(len(word))))
-    x = x[able(x, head[x])]
-    out.append((x, head[x]))
-    here = np.flatnonzero(~np.repeat(long, size) & (np.repeat(size, size) > 1))
+    for k in np.flatnonzero(long).tolist():
+        x = np.arange(bounds[k], bounds[k + 1])
+        head = x[np.lexsort((line[x], doc[x]))[0]]
+        y = np.full(len(x), head)
+        fit = (x != head) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[fit], y[fit]
+        fit = able(x, y)
+        out.append((x[fit], y[fit]))
+    # In order of size, each line is compared with the longer ones up to its limit; as the shorter
+    # line it can only match by a word in its first places.
+    low = (100 + percent) * (n - at) >= 2 * percent * n
+    left = np.repeat(bounds[1:], size) - np.arange(len(word)) - 1
+    here = np.flatnonzero(~np.repeat(long, size) & (left > 0) & low)
     for step in range(1, most):
-        here = here[here + step < len(word)]
-        here = here[word[here + step] == word[here]]
+        here = here[left[here] >= step]
+        here = here[100 * n[here] >= percent * n[here + step]]
         if not len(here):
             break
-        good = here[able(here + step, here)]
-        out.append((good + step, good))
-    x, y = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        good = here[able(here, here + step)]
+        out.append((good, good + step))
+    x, y = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
+    swap = (doc[x] < doc[y]) | (doc[x] == doc[y]) & (line[x] < line[y])
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
     found = np.unique(np.stack([doc[x], line[x], doc[y], line[y]], axis=1), axis=0) if len(x) else np.zeros((0, 4), np.int64)
     listed = np.flatnonzero(np.repeat(long, size))
     pair, entry = np.zeros(len(found), np.int64), np.zeros(len(listed), np.int64)
@@ -220,7 +231,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, place, percent: int, work: Works
     return rows.select("doc", "line", "words", "words2").mapInArrow(run, "doc long, line int").distinct()
 
 
-def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20, most: int = 256, part_entries: int = 1 << 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20, most: int = 1024, part_entries: int = 1 << 20) -> DataFrame:
     """``doc, line`` of each line that is similar to an earlier one; ``docs`` has ``doc`` and ``text``."""
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
