@@ -1,7 +1,7 @@
 """Quality classifier: a linear support-vector machine on Naive Bayes features.
 
 A text becomes the indicators of its hashed n-grams: byte 4-grams, case kept,
-and single words.  Each indicator is scaled by its class log-count ratio, which
+and single words; one more indicator tells the class of its number of words.  Each indicator is scaled by its class log-count ratio, which
 is counted over *all* labelled training rows.  A linear hinge-loss model is
 then fitted to these scaled, length-normalised indicators by dual coordinate
 descent, on at most ``sample`` labelled rows of each class (those whose
@@ -27,6 +27,8 @@ from ._counts import KIND, pack, total
 
 FEATURES = 1 << 17
 WIDTH = 4
+#: Hashed with a text's size class.
+_SIZE = 1 << 40
 #: Added to the squared length of a text's features: a few n-grams alone say little.
 DAMP = 20.0
 
@@ -56,7 +58,8 @@ def indicators(array: pa.Array, features: int = FEATURES) -> Iterator[np.ndarray
             else:
                 steps = range(a, b, tx.PIECE)
                 own_grams = np.concatenate([distinct((tx.rolling(part[x : min(x + tx.PIECE + WIDTH - 1, b)], WIDTH) >> shift).astype(np.int64)) for x in steps])
-            yield distinct(np.concatenate([own_grams, words[bounds[k] : bounds[k + 1]]]))
+            size = np.array([int(bounds[k + 1] - bounds[k]).bit_length() + _SIZE], np.uint64)
+            yield distinct(np.concatenate([own_grams, words[bounds[k] : bounds[k + 1]], (tx.mix(size) >> shift).astype(np.int64)]))
 
 
 def class_counts(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
@@ -171,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, features: int = FEATURES, sample:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, predicted`` for each row; only the text is read.
 
-    Null and empty texts have no features and get the bias's score.  Other
+    Null and empty texts have no n-grams and get the score of their size class.  Other
     columns are ignored.  An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.ratio.astype(np.float32), (model.ratio * model.weights[:-1]).astype(np.float32), float(model.weights[-1]) * 0.1, model.slope, model.intercept))
