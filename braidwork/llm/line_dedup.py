@@ -231,7 +231,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, place, percent: int, work: Works
     return rows.select("doc", "line", "words", "words2").mapInArrow(run, "doc long, line int").distinct()
 
 
-def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20, most: int = 1024, part_entries: int = 1 << 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20, most: int = 1024, part_entries: int = 1 << 18) -> DataFrame:
     """``doc, line`` of each line that is similar to an earlier one; ``docs`` has ``doc`` and ``text``."""
     spark = docs.sparkSession
     work = Workspace(spark, "lines")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from pathlib import Path
 
@@ -13,8 +14,10 @@ from ._work import bounded_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    roots = [str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")]
-    spark.sparkContext.environment["PYTHONPATH"] = ":".join(dict.fromkeys(x for x in roots if x))  # the workers import this package
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # the workers import this package
+        held = spark.sparkContext.environment.get("PYTHONPATH", "")
+        spark.sparkContext.environment["PYTHONPATH"] = root if held in ("", root) else f"{root}{os.pathsep}{held}" if root not in held else held
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
