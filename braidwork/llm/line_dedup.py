@@ -14,9 +14,10 @@ on any order of work.
 3. Prefix entries meet by word in packed blocks.  The length filter, the
    positions of the common word and a folded bitmap rule out most pairs; in a word's list of more
    than ``most`` lines, each is first compared with the earliest only.
-4. Candidates that the bitmaps do not rule out are verified on the whole
-   lines.  Lines of long lists that found no earlier match are then compared
-   with all earlier lines of these lists, in a join that can be split.
+4. A line's earliest candidates that the bitmaps do not rule out are verified
+   on the whole lines.  Lines that found no earlier match are then compared
+   with all their other candidates, and with all earlier lines of their long
+   lists, in joins that can be split.
 """
 
 from __future__ import annotations
@@ -135,7 +136,8 @@ def _spread(classes: DataFrame, parts: int) -> DataFrame:
     return classes.select("doc", "line", "n", "prefix", small.alias("bits")).mapInArrow(run, "part int, word binary, doc binary, line binary, n binary, at binary, bits binary")
 
 
-def _candidates(table: pa.Table, percent: int, most: int) -> pa.Table:
+def _candidates(table: pa.Table, percent: int, most: int, first: int) -> pa.Table:
+    """Pairs of a later and an earlier line: 0 in ``listed`` for a line's ``first`` ones, 2 for the others; 1 marks entries of long lists."""
     kinds = {"word": np.int32, "doc": np.int64, "line": np.int32, "n": np.int32, "at": np.int32, "bits": np.uint64}
     word, doc, line, n, at, bits = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table[c].combine_chunks()]).astype(np.uint64 if c == "bits" else np.int64) for c, k in kinds.items())
     order = np.lexsort((n, word))
@@ -177,8 +179,11 @@ def _candidates(table: pa.Table, percent: int, most: int) -> pa.Table:
     found = np.unique(np.stack([doc[x], line[x], doc[y], line[y]], axis=1), axis=0) if len(x) else np.zeros((0, 4), np.int64)
     listed = np.flatnonzero(np.repeat(long, size))
     pair, entry = np.zeros(len(found), np.int64), np.zeros(len(listed), np.int64)
+    fresh = np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)] if len(found) else np.zeros(0, bool)
+    rank = np.arange(len(found)) - np.maximum.accumulate(np.where(fresh, np.arange(len(found)), 0))
+    later = np.where(rank < first, 0, 2)
     cols = {"doc": (found[:, 0], doc[listed]), "line": (found[:, 1], line[listed]), "doc2": (found[:, 2], entry), "line2": (found[:, 3], entry)}
-    cols |= {"listed": (pair, entry + 1), "word": (pair, word[listed]), "at": (pair, at[listed])}
+    cols |= {"listed": (later, entry + 1), "word": (pair, word[listed]), "at": (pair, at[listed])}
     wide = ("doc", "doc2")
     return pa.table({k: np.concatenate(v).astype(np.int64 if k in wide else np.int32) for k, v in cols.items()})
 
@@ -231,7 +236,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, place, percent: int, work: Works
     return rows.select("doc", "line", "words", "words2").mapInArrow(run, "doc long, line int").distinct()
 
 
-def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20, most: int = 1024, part_entries: int = 1 << 18) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20, most: int = 1024, part_entries: int = 1 << 18, first_pairs: int = 4) -> DataFrame:
     """``doc, line`` of each line that is similar to an earlier one; ``docs`` has ``doc`` and ``text``."""
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
@@ -243,20 +248,26 @@ def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20
     work.release()
     entries = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(math.ceil(entries / part_entries), 1)
-    found = _spread(classes, parts).groupBy("part").applyInArrow(lambda t: _candidates(t, percent, most), _PAIR + ", listed int, word int, at int")
+    found = _spread(classes, parts).groupBy("part").applyInArrow(lambda t: _candidates(t, percent, most, first_pairs), _PAIR + ", listed int, word int, at int")
     found = work.save(found, "candidates")
     work.release()
     pairs = found.where("listed = 0").select("doc", "line", "doc2", "line2").distinct()
     maps = classes.select("doc", "line", "n", *_BITS)
     a, b = maps.alias("a"), maps.alias("b")
-    both = pairs.alias("p").join(a, F.expr("p.doc = a.doc and p.line = a.line")).join(b, F.expr("p.doc2 = b.doc and p.line2 = b.line"))
-    pairs = work.save(both.where(_near(percent)).select("p.*"), "pairs")
+
+    def near(some: DataFrame) -> DataFrame:
+        both = some.alias("p").join(a, F.expr("p.doc = a.doc and p.line = a.line")).join(b, F.expr("p.doc2 = b.doc and p.line2 = b.line"))
+        return both.where(_near(percent)).select("p.*")
+
+    pairs = work.save(near(pairs), "pairs")
     gone = work.save(_verify(pairs, docs, place, percent, work), "gone")
     work.release()
     listed = found.where("listed = 1").select("word", "doc", "line", "at").join(maps, ["doc", "line"])
     open_ = listed.join(gone, ["doc", "line"], "left_anti")
     earlier = F.expr("a.word = b.word and (b.doc < a.doc or b.doc = a.doc and b.line < a.line) and b.n * 100 >= a.n * {p} and a.n * 100 >= b.n * {p} and {q} * least(a.n - a.at, b.n - b.at) >= {p} * (a.n + b.n)".format(p=percent, q=100 + percent))
     rest = open_.alias("a").join(listed.alias("b"), earlier & _near(percent)).selectExpr("a.doc", "a.line", "b.doc as doc2", "b.line as line2").distinct()
+    later = found.where("listed = 2").select("doc", "line", "doc2", "line2").join(gone, ["doc", "line"], "left_anti").distinct()
+    rest = rest.unionByName(near(later)).distinct()
     rest = work.save(rest.join(pairs, ["doc", "line", "doc2", "line2"], "left_anti"), "rest")
     gone = gone.unionByName(_verify(rest, docs, place, percent, work)) if rest.first() is not None else gone
     removed = classes.select("k1", "k2", "doc", "line").join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left")

@@ -366,7 +366,7 @@ def test_leaks(spark, pass_bytes):
 # -- 8 ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("settings", [{}, {"most": 1, "buckets": 1 << 10, "part_entries": 50}])
+@pytest.mark.parametrize("settings", [{}, {"most": 1, "buckets": 1 << 10, "part_entries": 50}, {"first_pairs": 0}])
 def test_lines(spark, settings):
     rng = random.Random(8)
     vocabulary = [f"v{i}" for i in range(60)]
