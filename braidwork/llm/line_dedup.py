@@ -16,8 +16,8 @@ on any order of work.
    than ``most`` lines, each is first compared with the earliest only.
 4. A line's earliest candidates that the bitmaps do not rule out are verified
    on the whole lines.  Lines that found no earlier match are then compared
-   with all their other candidates, and with all earlier lines of their long
-   lists, in joins that can be split.
+   with all earlier lines of the lists of which pairs were left out, in a join
+   that can be split.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from ._counts import KIND, pack, total
 from ._work import Workspace
 
 _LOW = np.uint64((1 << 24) - 1)
+#: Squared lengths of the lists that are compared together.
+_BLOCK = 1 << 21
 _WORDS = 4  # 64-bit words of a bitmap
 _BITS = [f"b{k}" for k in range(_WORDS)]
 _LINE = "doc long, line int, k1 long, k2 long, n int, prefix array<int>, " + ", ".join(f"{b} long" for b in _BITS)
@@ -137,7 +139,7 @@ def _spread(classes: DataFrame, parts: int) -> DataFrame:
 
 
 def _candidates(table: pa.Table, percent: int, most: int, first: int) -> pa.Table:
-    """Pairs of a later and an earlier line: 0 in ``listed`` for a line's ``first`` ones, 2 for the others; 1 marks entries of long lists."""
+    """Pairs of a later and an earlier line, and with 1 in ``listed`` the entries of lists of which pairs are left out."""
     kinds = {"word": np.int32, "doc": np.int64, "line": np.int32, "n": np.int32, "at": np.int32, "bits": np.uint64}
     word, doc, line, n, at, bits = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table[c].combine_chunks()]).astype(np.uint64 if c == "bits" else np.int64) for c, k in kinds.items())
     order = np.lexsort((n, word))
@@ -165,25 +167,45 @@ def _candidates(table: pa.Table, percent: int, most: int, first: int) -> pa.Tabl
     # line it can only match by a word in its first places.
     low = (100 + percent) * (n - at) >= 2 * percent * n
     left = np.repeat(bounds[1:], size) - np.arange(len(word)) - 1
-    here = np.flatnonzero(~np.repeat(long, size) & (left > 0) & low)
-    for step in range(1, most):
-        here = here[left[here] >= step]
-        here = here[100 * n[here] >= percent * n[here + step]]
-        if not len(here):
-            break
-        good = here[able(here, here + step)]
-        out.append((good, good + step))
-    x, y = (np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
-    swap = (doc[x] < doc[y]) | (doc[x] == doc[y]) & (line[x] < line[y])
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    found = np.unique(np.stack([doc[x], line[x], doc[y], line[y]], axis=1), axis=0) if len(x) else np.zeros((0, 4), np.int64)
-    listed = np.flatnonzero(np.repeat(long, size))
-    pair, entry = np.zeros(len(found), np.int64), np.zeros(len(listed), np.int64)
-    fresh = np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)] if len(found) else np.zeros(0, bool)
-    rank = np.arange(len(found)) - np.maximum.accumulate(np.where(fresh, np.arange(len(found)), 0))
-    later = np.where(rank < first, 0, 2)
-    cols = {"doc": (found[:, 0], doc[listed]), "line": (found[:, 1], line[listed]), "doc2": (found[:, 2], entry), "line2": (found[:, 3], entry)}
-    cols |= {"listed": (later, entry + 1), "word": (pair, word[listed]), "at": (pair, at[listed])}
+    start = np.flatnonzero(~np.repeat(long, size) & (left > 0) & low)
+    block = np.repeat(np.cumsum(np.where(long, 0, size * size)) // _BLOCK, size)  # bounds what is held at once
+    listed, parts = np.repeat(long, size), []
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        """Each later line's first candidates; where there are more, the word's list is kept too."""
+        if not len(x):
+            return
+        swap = (doc[x] < doc[y]) | (doc[x] == doc[y]) & (line[x] < line[y])
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        order = np.lexsort((line[y], doc[y], line[x], doc[x]))
+        x, y = x[order], y[order]
+        same = np.r_[False, (doc[x[1:]] == doc[x[:-1]]) & (line[x[1:]] == line[x[:-1]])]
+        twin = np.r_[False, same[1:] & (doc[y[1:]] == doc[y[:-1]]) & (line[y[1:]] == line[y[:-1]])]
+        count = np.cumsum(~twin)
+        rank = count - np.maximum.accumulate(np.where(same, 0, count))
+        for k in np.unique(np.searchsorted(bounds, x[rank >= first], side="right") - 1).tolist():
+            listed[bounds[k] : bounds[k + 1]] = True
+        some = ~twin & (rank < first)
+        parts.append(np.stack([doc[x[some]], line[x[some]], doc[y[some]], line[y[some]]]))
+
+    for x, y in out:
+        keep(x, y)
+    for here in np.split(start, np.flatnonzero(np.diff(block[start])) + 1):
+        out = []
+        for step in range(1, most):
+            here = here[left[here] >= step]
+            here = here[100 * n[here] >= percent * n[here + step]]
+            if not len(here):
+                break
+            good = here[able(here, here + step)]
+            out.append((good, good + step))
+        if out:
+            keep(*(np.concatenate([o[k] for o in out]) for k in (0, 1)))
+    found = np.concatenate([np.zeros((4, 0), np.int64), *parts], axis=1)
+    listed = np.flatnonzero(listed)
+    pair, entry = np.zeros(found.shape[1], np.int64), np.zeros(len(listed), np.int64)
+    cols = {"doc": (found[0], doc[listed]), "line": (found[1], line[listed]), "doc2": (found[2], entry), "line2": (found[3], entry)}
+    cols |= {"listed": (pair, entry + 1), "word": (pair, word[listed]), "at": (pair, at[listed])}
     wide = ("doc", "doc2")
     return pa.table({k: np.concatenate(v).astype(np.int64 if k in wide else np.int32) for k, v in cols.items()})
 
@@ -266,8 +288,6 @@ def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20
     open_ = listed.join(gone, ["doc", "line"], "left_anti")
     earlier = F.expr("a.word = b.word and (b.doc < a.doc or b.doc = a.doc and b.line < a.line) and b.n * 100 >= a.n * {p} and a.n * 100 >= b.n * {p} and {q} * least(a.n - a.at, b.n - b.at) >= {p} * (a.n + b.n)".format(p=percent, q=100 + percent))
     rest = open_.alias("a").join(listed.alias("b"), earlier & _near(percent)).selectExpr("a.doc", "a.line", "b.doc as doc2", "b.line as line2").distinct()
-    later = found.where("listed = 2").select("doc", "line", "doc2", "line2").join(gone, ["doc", "line"], "left_anti").distinct()
-    rest = rest.unionByName(near(later)).distinct()
     rest = work.save(rest.join(pairs, ["doc", "line", "doc2", "line2"], "left_anti"), "rest")
     gone = gone.unionByName(_verify(rest, docs, place, percent, work)) if rest.first() is not None else gone
     removed = classes.select("k1", "k2", "doc", "line").join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
