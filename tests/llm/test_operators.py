@@ -193,6 +193,22 @@ def test_losses_of_both_models(docs, spark):
         assert abs(got["h_background"] - loss[0] / len(w)) < 1e-5 and abs(got["score"] - (loss[1] - loss[0]) / len(w)) < 1e-5
 
 
+def test_losses_keep_every_word(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{int(90_000 * rng.random() ** 1.3)}" for _ in range(4000)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r for r in lm_score.score(frame, frame.where("doc_id < 25").select("text"), core=50, part_words=40_000).collect()}
+    corpora = [[t.split() for t in texts], [t.split() for t in texts[:25]]]
+    uni = [Counter(w for t in c for w in t) for c in corpora]
+    bi = [Counter(p for t in c for p in zip(t, t[1:], strict=False)) for c in corpora]
+    assert len(uni[0]) > 65_535
+    mass = [sum(u.values()) + len(uni[0]) + 1 for u in uni]
+    p1s = [{w: (uni[k][w] + 1) / mass[k] for w in uni[0]} for k in (0, 1)]
+    for d, w in enumerate(corpora[0]):
+        loss = [-math.log(p1s[k][w[0]]) - sum(math.log((bi[k][a, b] + 50 * p1s[k][b]) / (uni[k][a] + 50)) for a, b in zip(w, w[1:], strict=False)) for k in (0, 1)]
+        assert abs(found[d]["h_background"] - loss[0] / len(w)) < 1e-5 and abs(found[d]["h_target"] - loss[1] / len(w)) < 1e-5
+
+
 def test_losses_edges(spark, odd):
     assert lm_score.score(empty(spark), empty(spark)).count() == 0
     rows = lm_score.score(odd, odd.where("false"), core=2).collect()
