@@ -87,10 +87,14 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, offsets = tx.buffers(batch.column(2))
             uid, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            done = -1
             for i, j, a, b in _pieces(offsets, length):
                 part = data[a:b]
                 own = np.clip(offsets[i : j + 1] - a, 0, b - a)
                 at, gram = anchors(part, own, length)
+                if len(at) and at[0] + a == done:  # the last anchor of a long text's piece can be the first of the next
+                    at, gram = at[1:], gram[1:]
+                done = int(at[-1]) + a if len(at) else done
                 row = i + np.searchsorted(own, at, side="right") - 1 if j - i > 1 else np.full(len(at), i)
                 pos = at + a - offsets[row]
                 lead = np.minimum(pos, reach)

@@ -244,6 +244,27 @@ def test_repeated_strings(spark, settings):
     assert sum(len(r["spans"]) for r in found.values()) > 10
 
 
+def test_long_text_has_each_anchor_once(spark):
+    rng = random.Random(12)
+    text = rng.randbytes(1_150_000).hex()
+    passage = text[1_000_000:1_000_450]
+    texts = [text, rng.randbytes(600_000).hex() + passage + rng.randbytes(700_000).hex(), rng.randbytes(500_000).hex()]
+    raw = [t.encode() for t in texts]
+    seen = Counter(hash(b[i : i + 200]) for b in raw for i in range(len(b) - 199))
+    expected = []
+    for b in raw:
+        spans = []
+        for i in range(len(b) - 199):
+            if seen[hash(b[i : i + 200])] > 1:
+                if spans and i <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], i + 200)
+                else:
+                    spans.append((i, i + 200))
+        expected.append(spans)
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(expected)) and [len(s) for s in expected] == [1, 1, 0]
+
+
 def test_repeated_rows_are_other_places(spark):
     text = " ".join(str(i * i) for i in range(80))
     frame = spark.createDataFrame([(1, text), (1, text), (None, text[:150]), (2, "short")], "doc_id long, text string")
