@@ -259,7 +259,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, place, percent: int, work: Works
 
 
 def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20, most: int = 1024, part_entries: int = 1 << 18, first_pairs: int = 4) -> DataFrame:
-    """``doc, line`` of each line that is similar to an earlier one; ``docs`` has ``doc`` and ``text``."""
+    """``doc, line`` of each line that is similar to an earlier one; ``docs`` has ``doc`` and ``text``.
+
+    Rows of one ``doc`` must have one text.
+    """
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
     place = spark.sparkContext.broadcast(word_order(docs, buckets))
@@ -296,23 +299,45 @@ def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20
     return mine.where("gone or doc != doc2 or line != line2").select("doc", "line")
 
 
+def _numbered(texts: DataFrame, work: Workspace) -> DataFrame | None:
+    """``doc, h1, h2`` of each distinct text of each ``doc`` and its ``number`` in this order; None if no ``doc`` has two."""
+    ids = work.save(texts.select("doc", "h1", "h2").distinct(), "ids")
+    if ids.groupBy("doc").count().where("count > 1").first() is None:
+        return None
+    return work.save(ids.orderBy("doc", "h1", "h2").withColumn("number", F.monotonically_increasing_id()), "numbers")
+
+
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without repeated lines, all columns kept, with the line counts.
 
     Takes any frame with ``doc_id`` and ``text``.  Returns its columns, ``text``
     without the removed lines, and ``n_lines`` and ``removed`` (the numbers of
     the removed lines, from 0).  Lines without words are never removed; null
-    and empty texts stay.  Rows that repeat a ``doc_id`` are one document: a
-    line is not removed for the same line of the same document.  Documents
-    with a null ``doc_id`` come last and count as one.  Columns named like the
-    added ones are replaced.  An empty table gives an empty result.
+    and empty texts stay.  Rows that repeat a ``doc_id`` and its text are one
+    document: a line is not removed for the same line of the same document.
+    Different texts of one ``doc_id`` are documents of their own, in the order
+    of their hashes.  Documents with a null ``doc_id`` come last.  Columns named
+    like the added ones are replaced.  An empty table gives an empty result.
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    texts = docs.select(doc.alias("doc"), F.col("text").cast("string").alias("text"))
-    lists = repeated_lines(texts, **how).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    text = F.col("text").cast("string")
+    hashes = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+    texts = docs.select(doc.alias("doc"), *hashes, text.alias("text"))
+    work = Workspace(docs.sparkSession, "documents")
+    numbers = _numbered(texts, work)
+    keys = ["doc"]
+    if numbers is not None:
+        keys = ["doc", "h1", "h2"]
+        texts = work.save(texts.join(numbers, keys).select(F.col("number").alias("doc"), "text"), "texts")
+    lists = repeated_lines(texts.select("doc", "text"), **how).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    if numbers is not None:
+        lists = lists.withColumnRenamed("doc", "number").join(numbers, "number").select(*keys, "removed")
+    lists = lists.select(*(F.col(k).alias(f"__{k}") for k in keys), "removed")
+    keys = [f"__{k}" for k in keys]
     kept = [c for c in docs.columns if c not in ("n_lines", "removed", "text")]
-    rows = docs.select(*kept, F.col("text").cast("string").alias("text"), doc.alias("__doc"))
-    out = tx.packed(rows, [*kept, "__doc"]).join(lists.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
+    own = dict(zip(["__doc", "__h1", "__h2"], [doc, *hashes], strict=True))
+    rows = docs.select(*kept, text.alias("text"), *(own[k].alias(k) for k in keys))
+    out = tx.packed(rows, [*kept, *keys]).join(lists, keys, "left").drop(*keys)
     return out.mapInArrow(_cut(len(kept)), _cut_schema(docs, kept))
 
 

@@ -435,6 +435,19 @@ def test_lines(spark, settings):
         assert found[d]["text"] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]))
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    rng = random.Random(13)
+    line = lambda: " ".join(f"u{rng.random()}" for _ in range(6))
+    first, twice, shared = line(), line(), line()
+    rows = [(1, first), (None, f"{first}\n{line()}"), (None, f"{twice}\n{line()}"), (None, f"{line()}\n{line()}"), (None, f"{twice}\n{line()}\n{line()}"), (7, f"{shared}\n{line()}"), (7, f"{line()}\n{shared}"), (7, f"{line()}\n{line()}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["text"]: r["removed"] for r in line_dedup.dedup_lines(frame).collect()}
+    left = Counter(x for t in found for x in t.split("\n"))
+    assert left == {x: 1 for _, t in rows for x in t.split("\n")}
+    assert sum(map(len, found.values())) == 3 and len(found) == len(rows)
+    assert found[first] == [] and found[rows[3][1]] == found[rows[7][1]] == []
+
+
 def test_lines_edges(spark, odd):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     out = line_dedup.dedup_lines(odd)
