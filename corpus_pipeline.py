@@ -8,7 +8,7 @@ folder and reads it back, so a lost executor costs one stage at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidwork.llm import decontam, lang_id, line_dedup, minhash, mixing
@@ -43,12 +43,16 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy of a document in the mix, numbered from 1.
 
-    Rows that share a ``doc_id`` are one document here: each appears as often as
-    the first of them was drawn.
+    Each row appears as often as it was drawn.  Rows that share ``doc_id``,
+    source and number of words have their draws dealt out in the order of their
+    texts' hashes.
     """
-    plan = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    taken = docs.alias("d").join(plan.alias("p").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")))
-    return taken.select("d.*", F.explode(F.sequence(F.lit(1), F.col("p.copies"))).alias("copy"))
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(mixing.WORDS)), F.lit(0)).cast("long")
+    key = lambda n: F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("size"))
+    plan = mixing.mix(docs).groupBy(key(F.col("size")).alias("__key")).agg(F.sort_array(F.collect_list(F.col("copies").cast("int")), asc=False).alias("__drawn"))
+    rows = docs.withColumn("__key", key(size)).join(plan.hint("merge"), "__key")
+    rows = rows.withColumn("__copies", F.element_at("__drawn", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))))
+    return rows.where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
 
 
 STAGES = [

@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from braidwork.llm import mixing
 from braidwork.llm import queries as llm
 
 
@@ -44,6 +45,17 @@ def test_near_duplicate_stage_keeps_one(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "9", "None"] and kept.columns == docs.columns
 
 
+def test_mixture_takes_each_row_as_drawn(spark):
+    rows = [(None if k % 2 else 5, f"w{k} " * (3 + k % 2), "en", "ab"[k % 4 // 2] if k % 5 else None, 0) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    drawn = Counter()
+    for r in mixing.mix(docs).collect():
+        drawn[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    out = corpus_pipeline.mixture(spark, docs, "")
+    taken = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in out.collect())
+    assert out.columns == [*docs.columns, "copy"] and taken == +drawn and sum(taken.values()) > 20
+
+
 def test_registry():
     names = list(llm.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
