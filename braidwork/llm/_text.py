@@ -159,6 +159,12 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
     return mix((total[width:] - total[:-width]) * down[: n - width + 1])
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; sorting is many times faster than the hash table of ``np.unique``."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

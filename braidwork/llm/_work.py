@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,8 @@ def shared_root(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="braidwork-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -36,6 +40,18 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin inside have their shuffle files removed as they end, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Workspace:
     """Tables of one operator run, each written once and read back."""
 
@@ -44,6 +60,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._live: list[str] = []
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -52,18 +69,28 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return a frame that reads the files."""
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        with freed_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
+        self._live.append(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that no later step reads, and free their shuffle files."""
-        jvm = self.spark._jvm
+        """Delete tables that no later step reads."""
+        self._delete([x._workspace_path for x in frames])
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Delete all tables of this workspace but these."""
+        held = {x._workspace_path for x in frames}
+        self._delete([x for x in self._live if x not in held])
+
+    def _delete(self, paths: list[str]) -> None:
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._workspace_path)
+        for x in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(x)
             path.getFileSystem(conf).delete(path, True)
+            self._live.remove(x)
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of finished jobs, which it does once their frames are collected."""

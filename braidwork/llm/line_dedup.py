@@ -1,35 +1,37 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words.  A later line is removed if an earlier one (by
-``doc_id``, then line number) has a Jaccard similarity of ``percent`` or more;
-whether the earlier one stays does not matter, so the result does not depend
-on any order of work.
+A line is the set of its words.  A later line is removed if an earlier one has
+a Jaccard similarity of ``percent`` or more; whether the earlier one stays does
+not matter, so the result does not depend on any order of work.  Lines are in
+order of ``doc_id`` and line number; where different texts share a ``doc_id``
+(or have none), lines of equal number are in order of their hashes.
 
 1. Words are counted in a table of ``buckets`` hash buckets: a broadcast of
    fixed size that gives one total order of words, rarest first.  The order
    need not be exact for the join to be, only the same everywhere.
-2. Each line gives its size, a key of its set, its prefix (the words of which
-   two similar lines must share one) and a parity bitmap.  Equal sets are one
-   class with its first line; thousands of equal lines cost one row.
-3. Prefix entries meet by word in packed blocks.  The length filter, the
-   positions of the common word and a folded bitmap rule out most pairs; in a word's list of more
-   than ``most`` lines, each is first compared with the earliest only.
-4. A line's earliest candidates that the bitmaps do not rule out are verified
-   on the whole lines.  Lines that found no earlier match are then compared
-   with all earlier lines of the lists of which pairs were left out, in a join
-   that can be split.
+2. Each line gives its size, a 128-bit key of its set, its prefix (the words of
+   which two similar lines must share one) and a parity bitmap.  Equal sets are
+   one class with its first line; thousands of equal lines cost one row.
+3. Classes meet by word.  A word that more than ``often`` prefixes hold is
+   joined with a second word of the line: similar lines share two words of
+   prefixes that are one word longer, so their lists stay short where single
+   words' lists would grow with the corpus.
+4. In a list, the length filter, the positions of the common word and the
+   bitmaps rule out most pairs.  Each later line keeps only its best candidate,
+   so a family of variants costs one pair a line, not all pairs.  It is
+   verified on the whole lines.
+5. Lines whose best candidate fails, and that have others, meet their lists
+   again, and all their candidates are verified.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,12 +40,16 @@ from ._counts import KIND, pack, total
 from ._work import Workspace
 
 _LOW = np.uint64((1 << 24) - 1)
-#: Squared lengths of the lists that are compared together.
-_BLOCK = 1 << 21
-_WORDS = 4  # 64-bit words of a bitmap
+_WORDS = 2  # 64-bit words of a bitmap
 _BITS = [f"b{k}" for k in range(_WORDS)]
-_LINE = "doc long, line int, k1 long, k2 long, n int, prefix array<int>, " + ", ".join(f"{b} long" for b in _BITS)
-_PAIR = "doc long, line int, doc2 long, line2 int"
+_KEY = ["doc", "line", "k1"]
+_LINE = "doc long, line int, h long, k1 long, k2 long, n int, prefix binary, " + ", ".join(f"{b} long" for b in _BITS)
+_PAIR = "doc long, line int, k1 long, doc2 long, line2 int, k12 long, ratio int, more boolean"
+#: The fields of an entry of a list, packed one after the other.
+_ENTRY = {"word": np.uint32, "doc": np.int64, "line": np.int32, "k1": np.int64, "n": np.int32, "at": np.int32, "open": np.uint8, **{b: np.int64 for b in _BITS}}
+#: Comparisons that are held at once.
+_BLOCK = 1 << 20
+_FILTER_BITS = 26
 
 
 def _tokens(array: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -62,10 +68,15 @@ def word_order(docs: DataFrame, buckets: int) -> np.ndarray:
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(buckets, np.int64)
+        seen, held = np.zeros(buckets, np.int64), []
         for batch in batches:
             for _, _, hashes, _, _ in _tokens(batch.column(0)):
-                seen += np.bincount((hashes >> shift).astype(np.int64), minlength=buckets)
+                held.append((hashes >> shift).astype(np.int32))
+                if sum(map(len, held)) > 2 * buckets:
+                    seen += np.bincount(np.concatenate(held), minlength=buckets)
+                    held = []
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=buckets)
         yield from pack("words", seen)
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(count, KIND)
@@ -84,227 +95,386 @@ def _sets(hashes: np.ndarray, group: np.ndarray, place: np.ndarray) -> Iterator[
     while at < len(group):
         base = int(group[at])
         end = int(np.searchsorted(group, base + most))
-        keys = np.unique(((group[at:end] - base).astype(np.uint64) << np.uint64(44)) | words[at:end])
+        keys = tx.distinct(((group[at:end] - base).astype(np.uint64) << np.uint64(44)) | words[at:end])
         of = (keys >> np.uint64(44)).astype(np.int64)
         bounds = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(keys)]
         yield of[bounds[:-1]] + base, bounds, keys & np.uint64((1 << 44) - 1)
         at = end
 
 
+def _set_keys(words: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spread words, and the two keys of each set that begins at ``low``."""
+    spread = tx.mix(words)
+    return spread, np.add.reduceat(spread, low), np.bitwise_xor.reduceat(tx.mix(spread + np.uint64(1)), low)
+
+
+def _needed(n: np.ndarray, percent: int) -> np.ndarray:
+    """Words that a set of ``n`` shares with any similar one, at least."""
+    return (percent * n + 99) // 100
+
+
+def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary column of slices of ``flat``, ``size`` items each."""
+    offsets = np.r_[0, np.cumsum(size)] * flat.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
 def _lines(docs: DataFrame, place, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i, j, hashes, owner, line in _tokens(batch.column(1)):
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, j, hashes, owner, line in _tokens(batch.column(2)):
                 top = int(line.max(initial=0)) + 1
                 for group, bounds, words in _sets(hashes, owner * top + line, place.value):
-                    n = np.diff(bounds)
-                    spread = tx.mix(words)
-                    low = bounds[:-1]
-                    k1 = np.add.reduceat(spread, low)
-                    k2 = np.bitwise_xor.reduceat(tx.mix(spread + np.uint64(1)), low)
+                    n, low = np.diff(bounds), bounds[:-1]
+                    spread, k1, k2 = _set_keys(words, low)
                     bit, where = np.uint64(1) << (spread & np.uint64(63)), (spread >> np.uint64(6)) % np.uint64(_WORDS)
                     maps = [np.bitwise_xor.reduceat(np.where(where == k, bit, np.uint64(0)), low) for k in range(_WORDS)]
-                    size = n - (percent * n + 99) // 100 + 1
+                    size = np.minimum(n - _needed(n, percent) + 2, n)  # one word more, for pairs of words
                     place_in = np.arange(len(words)) - np.repeat(low, n)
                     kept = (spread[place_in < np.repeat(size, n)] >> np.uint64(32)).astype(np.uint32)  # equal words stay equal; the rest is for the verification
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(kept.view(np.int32)))
-                    cols = [pa.array(ids[i + group // top]), pa.array((group % top).astype(np.int32)), *(pa.array(k.view(np.int64)) for k in (k1, k2)), pa.array(n.astype(np.int32)), lists, *(pa.array(m.view(np.int64)) for m in maps)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "line", "k1", "k2", "n", "prefix", *_BITS])
+                    row = i + group // top
+                    cols = [pa.array(ids[row]), pa.array((group % top).astype(np.int32)), pa.array(marks[row]), *(pa.array(k.view(np.int64)) for k in (k1, k2)), pa.array(n.astype(np.int32)), _binary(kept, size), *(pa.array(m.view(np.int64)) for m in maps)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "line", "h", "k1", "k2", "n", "prefix", *_BITS])
+
+    return docs.select("doc", "h", "text").mapInArrow(run, _LINE)
 
-    return docs.mapInArrow(run, _LINE)
 
+def _prefixes(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and word of each prefix entry; the rows' stored prefixes as starts and words."""
+    k = batch.schema.get_field_index("prefix")
+    data, offsets = tx.buffers(batch.column(k))
+    flat, start = data[offsets[0] : offsets[-1]].view(np.uint32), (offsets - offsets[0]) // 4
+    n = batch.column(batch.schema.get_field_index("n")).to_numpy().astype(np.int64)
+    size = n - _needed(n, percent) + 1
+    row = np.repeat(np.arange(len(n)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    return row, at, flat[start[row] + at], start, flat
+
+
+def frequent_words(classes: DataFrame, percent: int, often: int, buckets: int, most: int = 1 << 20) -> tuple[int, np.ndarray]:
+    """Number of prefix entries, and the words that more than ``often`` prefixes hold, sorted.
+
+    Exact: only words in buckets with so many entries are counted one by one.
+    Where more than ``most`` words are, the limit rises by powers of two, which
+    bounds the broadcast; words left out keep longer lists and lose no pair.
+    """
+    shift = np.uint32(32 - (buckets.bit_length() - 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(buckets, np.int64)
+        for batch in batches:
+            seen += np.bincount(_prefixes(batch, percent)[2] >> shift, minlength=buckets)
+        yield from pack("words", seen)
+
+    seen = total(classes.select("n", "prefix").mapInArrow(count, KIND), buckets).get("words", np.zeros(buckets, np.int64))
+    full = classes.sparkSession.sparkContext.broadcast(seen > often)
 
-def _spread(classes: DataFrame, parts: int) -> DataFrame:
-    """Prefix entries packed by the partition of their word."""
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = _prefixes(batch, percent)[2]
+            words = np.sort(words[full.value[words >> shift]])
+            first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]][: len(words)])
+            yield pa.RecordBatch.from_arrays([pa.array(words[first].view(np.int32)), pa.array(np.diff(np.r_[first, len(words)]))], names=["word", "m"])
+
+    if not (seen > often).any():
+        return int(seen.sum()), np.zeros(0, np.uint32)
+    counts = classes.select("n", "prefix").mapInArrow(single, "word int, m long").groupBy("word").agg(F.sum("m").alias("m"))
+    counts = counts.where(F.col("m") > often)
+    sizes = {r["e"]: r["c"] for r in counts.groupBy(F.floor(F.log2("m")).cast("int").alias("e")).agg(F.count("*").alias("c")).collect()}
+    least = 0
+    while sum(c for e, c in sizes.items() if e >= least) > most:
+        least += 1
+    words = counts.where(F.floor(F.log2("m")) >= least).select("word").toArrow()["word"].to_numpy()
+    return int(seen.sum()), np.sort(words.astype(np.int32).view(np.uint32))
+
+
+def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted ``held``."""
+    if not len(held):
+        return np.zeros(len(values), bool)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
+
+
+def _keys(batch: pa.RecordBatch, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and list of each entry: a word, or a frequent word and a later one."""
+    row, at, word, start, flat = _prefixes(batch, percent)
+    many = _among(word, frequent)
+    r, a, w = row[many], at[many], word[many].astype(np.uint64)
+    left = (start[r + 1] - start[r]) - a - 1
+    which = np.repeat(np.arange(len(r)), left)
+    second = a[which] + 1 + np.arange(len(which)) - np.repeat(np.cumsum(left) - left, left)
+    both = (tx.mix((w[which] << np.uint64(32)) | flat[start[r[which]] + second].astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    return np.r_[row[~many], r[which]], np.r_[at[~many], second - 1], np.r_[word[~many], both]
+
+
+def _spread(classes: DataFrame, percent: int, parts: int, frequent, wanted=None) -> DataFrame:
+    """Entries packed by the partition of their list; with ``wanted``, of these lists only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
         for batch in batches:
-            lists = batch.column(3)
-            size = lists.value_lengths().to_numpy()
-            words = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
-            to = words.view(np.uint32).astype(np.int64) % parts
+            row, at, word = _keys(batch, percent, frequent.value)
+            if wanted is not None:
+                some = _among(word, wanted.value)
+                row, at, word = row[some], at[some], word[some]
+            to = word.astype(np.int64) % parts
             order = np.argsort(to, kind="stable")
             bounds = np.searchsorted(to[order], np.arange(parts + 1))
-            fields = [words, *(batch.column(k).to_numpy()[row] for k in (0, 1, 2)), at.astype(np.int32), batch.column(4).to_numpy()[row]]
-            fields = [f[order] for f in fields]
+            row, own = row[order], {"word": word[order], "at": at[order].astype(np.int32)}
+            fields = [own[f] if f in own else np.ascontiguousarray(batch.column(batch.schema.get_field_index(f)).to_numpy()[row].astype(kind)) for f, kind in _ENTRY.items()]
             some = np.flatnonzero(np.diff(bounds)).tolist()
-            packed = [pa.array([f[bounds[p] : bounds[p + 1]].tobytes() for p in some], pa.binary()) for f in fields]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *packed], names=["part", "word", "doc", "line", "n", "at", "bits"])
-
-    small = functools.reduce(Column.bitwiseXOR, [F.col(b) for b in _BITS])  # a parity bitmap too
-    return classes.select("doc", "line", "n", "prefix", small.alias("bits")).mapInArrow(run, "part int, word binary, doc binary, line binary, n binary, at binary, bits binary")
-
-
-def _candidates(table: pa.Table, percent: int, most: int, first: int) -> pa.Table:
-    """Pairs of a later and an earlier line, and with 1 in ``listed`` the entries of lists of which pairs are left out."""
-    kinds = {"word": np.int32, "doc": np.int64, "line": np.int32, "n": np.int32, "at": np.int32, "bits": np.uint64}
-    word, doc, line, n, at, bits = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table[c].combine_chunks()]).astype(np.uint64 if c == "bits" else np.int64) for c, k in kinds.items())
-    order = np.lexsort((n, word))
-    word, doc, line, n, at, bits = (x[order] for x in (word, doc, line, n, at, bits))
-    bounds = np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(word)]
-    size = np.diff(bounds)
-    long = size > most
-
-    def able(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        near = (100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y])
-        x, y = x[near], y[near]
-        near[near] = (100 + percent) * np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) <= (100 - percent) * (n[x] + n[y])
-        return near
-
-    out = []
-    for k in np.flatnonzero(long).tolist():
-        x = np.arange(bounds[k], bounds[k + 1])
-        head = x[np.lexsort((line[x], doc[x]))[0]]
-        y = np.full(len(x), head)
-        fit = (x != head) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-        x, y = x[fit], y[fit]
-        fit = able(x, y)
-        out.append((x[fit], y[fit]))
-    # In order of size, each line is compared with the longer ones up to its limit; as the shorter
-    # line it can only match by a word in its first places.
-    low = (100 + percent) * (n - at) >= 2 * percent * n
-    left = np.repeat(bounds[1:], size) - np.arange(len(word)) - 1
-    start = np.flatnonzero(~np.repeat(long, size) & (left > 0) & low)
-    block = np.repeat(np.cumsum(np.where(long, 0, size * size)) // _BLOCK, size)  # bounds what is held at once
-    listed, parts = np.repeat(long, size), []
-
-    def keep(x: np.ndarray, y: np.ndarray) -> None:
-        """Each later line's first candidates; where there are more, the word's list is kept too."""
-        if not len(x):
-            return
-        swap = (doc[x] < doc[y]) | (doc[x] == doc[y]) & (line[x] < line[y])
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        order = np.lexsort((line[y], doc[y], line[x], doc[x]))
-        x, y = x[order], y[order]
-        same = np.r_[False, (doc[x[1:]] == doc[x[:-1]]) & (line[x[1:]] == line[x[:-1]])]
-        twin = np.r_[False, same[1:] & (doc[y[1:]] == doc[y[:-1]]) & (line[y[1:]] == line[y[:-1]])]
-        count = np.cumsum(~twin)
-        rank = count - np.maximum.accumulate(np.where(same, 0, count))
-        for k in np.unique(np.searchsorted(bounds, x[rank >= first], side="right") - 1).tolist():
-            listed[bounds[k] : bounds[k + 1]] = True
-        some = ~twin & (rank < first)
-        parts.append(np.stack([doc[x[some]], line[x[some]], doc[y[some]], line[y[some]]]))
-
-    for x, y in out:
-        keep(x, y)
-    for here in np.split(start, np.flatnonzero(np.diff(block[start])) + 1):
-        out = []
-        for step in range(1, most):
-            here = here[left[here] >= step]
-            here = here[100 * n[here] >= percent * n[here + step]]
-            if not len(here):
-                break
-            good = here[able(here, here + step)]
-            out.append((good, good + step))
-        if out:
-            keep(*(np.concatenate([o[k] for o in out]) for k in (0, 1)))
-    found = np.concatenate([np.zeros((4, 0), np.int64), *parts], axis=1)
-    listed = np.flatnonzero(listed)
-    pair, entry = np.zeros(found.shape[1], np.int64), np.zeros(len(listed), np.int64)
-    cols = {"doc": (found[0], doc[listed]), "line": (found[1], line[listed]), "doc2": (found[2], entry), "line2": (found[3], entry)}
-    cols |= {"listed": (pair, entry + 1), "word": (pair, word[listed]), "at": (pair, at[listed])}
-    wide = ("doc", "doc2")
-    return pa.table({k: np.concatenate(v).astype(np.int64 if k in wide else np.int32) for k, v in cols.items()})
-
-
-def _near(percent: int, a: str = "a", b: str = "b") -> Column:
-    """True unless the bitmaps prove the pair below the threshold."""
-    apart = " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in _BITS)
-    return F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * ({a}.n + {b}.n)")
-
-
-def _whole(texts: DataFrame, wanted: DataFrame, place) -> DataFrame:
-    """``doc, line, words`` of the wanted lines: their distinct words, packed."""
-    lists = wanted.groupBy("doc").agg(F.collect_set("line").alias("lines"))
+            packed = [codec.compress(b"".join(f[bounds[p] : bounds[p + 1]].tobytes() for f in fields)).to_pybytes() for p in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.diff(bounds)[some], pa.int32()), pa.array(packed, pa.binary())], names=["part", "m", "z"])
+
+    fixed = ["doc", "line", "k1", "n", "prefix", *_BITS]
+    return classes.select(*fixed, F.col("open").cast("byte").alias("open")).mapInArrow(run, "part int, m int, z binary")
+
+
+def _entries(table: pa.Table) -> dict[str, np.ndarray]:
+    codec, width = pa.Codec("zstd"), sum(np.dtype(k).itemsize for k in _ENTRY.values())
+    parts: dict[str, list[np.ndarray]] = {f: [] for f in _ENTRY}
+    for m, z in zip(table["m"].to_pylist(), (x for c in table["z"].chunks for x in c), strict=True):
+        raw, at = codec.decompress(z.as_buffer(), m * width), 0
+        for f, kind in _ENTRY.items():
+            parts[f].append(np.frombuffer(raw, kind, m, at))
+            at += m * np.dtype(kind).itemsize
+    return {f: np.concatenate(x) for f, x in parts.items()}
+
+
+def _blocks(low: np.ndarray, high: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each ``x`` with the places from its ``low`` to its ``high``, in blocks of bounded size."""
+    count = np.maximum(high - low, 0)
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(x):
+        upto = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BLOCK, side="right")), at + 1)
+        c = count[at:upto]
+        which = np.repeat(np.arange(at, upto), c)
+        yield x[which], low[which] + np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c)
+        at = upto
+
+
+def _candidates(table: pa.Table, percent: int, long: int, again: bool) -> pa.Table:
+    """For each later line its best earlier candidate and whether it has more; if ``again``, all candidates of open lines."""
+    f = _entries(table)
+    order = np.lexsort((f["n"], f["word"]))
+    f = {k: v[order] for k, v in f.items()}
+    n, at = f["n"].astype(np.int64), f["at"].astype(np.int64)
+    maps = [f[b].view(np.uint64) for b in _BITS]
+    # ``who`` numbers the lines of this partition in their order
+    by = np.lexsort((f["k1"], f["line"], f["doc"]))
+    fresh = np.r_[True, np.any([f[c][by][1:] != f[c][by][:-1] for c in _KEY], axis=0)]
+    who = np.empty(len(by), np.int64)
+    who[by] = np.cumsum(fresh) - 1
+    line = by[fresh]
+    starts = np.flatnonzero(np.r_[True, f["word"][1:] != f["word"][:-1]])
+    size = np.diff(np.r_[starts, len(by)])
+    of = np.repeat(np.arange(len(starts)), size)
+    width = int(n.max()) + 2
+    sorted_key = of * width + n  # rises
+    best = np.full(len(line), np.iinfo(np.int64).max)
+    least, last, many = best.copy(), np.full(len(line), -1), np.zeros(len(line), bool)
+
+    def able(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that may be similar, and their distance by the bitmaps in thousandths of the limit."""
+        some = ((100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y])) & (who[x] != who[y])
+        x, y = x[some], y[some]
+        apart = np.zeros(len(x), np.int64)
+        for m in maps:
+            apart += np.bitwise_count(m[x] ^ m[y])
+        limit = (100 - percent) * (n[x] + n[y])
+        some = (100 + percent) * apart <= limit
+        return x[some], y[some], 1000 * (100 + percent) * apart[some] // np.maximum(limit[some], 1)
+
+    def keep(x: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> None:
+        a, b = np.maximum(who[x], who[y]), np.minimum(who[x], who[y])
+        np.minimum.at(best, a, ratio << 44 | b)
+        np.minimum.at(least, a, b)
+        np.maximum.at(last, a, b)
+
+    def leaders(x: np.ndarray) -> None:
+        """Lines are compared with those that are like no earlier one, these with all."""
+        heads, rest = [], x[np.argsort(who[x], kind="stable")]
+        whole = rest
+        while len(rest):
+            head, rest = rest[0], rest[1:]
+            fit = 100 * np.minimum(n[rest], n[head]) >= percent * np.maximum(n[rest], n[head])
+            a, b, ratio = able(rest[fit], np.full(int(fit.sum()), head))
+            keep(a, b, ratio)
+            many[who[a]] = True
+            heads.append(head)
+            rest = rest[~np.isin(who[rest], who[a]) & (who[rest] != who[head])]
+        for head in heads:
+            x = whole[who[whole] < who[head]]
+            x = x[100 * np.minimum(n[x], n[head]) >= percent * np.maximum(n[x], n[head])]
+            keep(*able(x, np.full(len(x), head)))
+
+    if again:
+        found = [np.zeros(0, np.int64)]
+        x = np.flatnonzero(f["open"] > 0)
+        low = np.searchsorted(sorted_key, of[x] * width + _needed(n[x], percent))
+        high = np.searchsorted(sorted_key, of[x] * width + np.minimum(100 * n[x] // percent, width - 1), side="right")
+        for a, b in _blocks(low, high, x):
+            a, b, _ = able(a, b)
+            a, b = who[a], who[b]
+            found.append(tx.distinct((a << 32 | b)[b < a].view(np.uint64)).view(np.int64))
+        pair = tx.distinct(np.concatenate(found).view(np.uint64)).view(np.int64)
+        later, earlier = pair >> 32, pair & 0xFFFFFFFF
+        ratio, more = np.zeros(len(pair), np.int32), np.zeros(len(pair), bool)
+    else:
+        for k in np.flatnonzero(size > long).tolist():
+            leaders(np.arange(starts[k], starts[k] + size[k]))
+        # In order of size, each line is compared with the longer ones up to its limit; as the shorter
+        # line it can only match by a word in its first places.
+        x = np.flatnonzero((size[of] > 1) & (size[of] <= long) & ((100 + percent) * (n - at) >= 2 * percent * n))
+        high = np.searchsorted(sorted_key, of[x] * width + np.minimum(100 * n[x] // percent, width - 1), side="right")
+        for a, b in _blocks(x + 1, high, x):
+            keep(*able(a, b))
+        later = np.flatnonzero(last >= 0)
+        earlier, ratio = best[later] & ((1 << 44) - 1), (best[later] >> 44).astype(np.int32)
+        more = many[later] | (least[later] != last[later])
+    a, b = line[later], line[earlier]
+    cols = {c: f[c][a] for c in _KEY} | {f"{c}2": f[c][b] for c in _KEY} | {"ratio": ratio, "more": more}
+    return pa.table(cols)
+
+
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Bit of a line in the filter of wanted lines."""
+    return (tx.mix(tx.mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+
+
+def _wanted(lines: DataFrame) -> np.ndarray:
+    """A filter of fixed size that holds all of ``lines`` (and, the more there are, others)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = tx.distinct(_place(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 16).astype(np.int32)), pa.array((at & 0xFFFF).astype(np.int32))], names=["chunk", "bit"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[table["bit"].to_numpy()] = 1
+        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = np.zeros((1 << _FILTER_BITS) // 8, np.uint8)
+    for r in lines.mapInArrow(mark, "chunk int, bit int").distinct().groupBy("chunk").applyInArrow(gather, "chunk int, bits binary").toLocalIterator():
+        out[r["chunk"] << 13 : (r["chunk"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _cuts(part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number, start and end of each line of texts laid end to end."""
+    breaks = np.flatnonzero(part == 10)
+    owner = np.r_[np.arange(len(own) - 1), np.searchsorted(own, breaks, side="right") - 1]
+    start = np.r_[own[:-1], breaks + 1]
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order]
+    same = np.r_[owner[1:] == owner[:-1], False]
+    end = np.where(same, np.r_[start[1:], 0] - 1, own[owner + 1])
+    return owner, np.arange(len(owner)) - np.searchsorted(owner, owner), start, end
+
+
+def _whole(texts: DataFrame, held, place) -> DataFrame:
+    """``doc, line, k1, words`` of the lines that the filter ``held`` lets through: their distinct words, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, asked = batch.column(0), batch.column(3)
-            for i, j, hashes, owner, line in _tokens(tx.unpacked(batch.column(1), batch.column(2))):
-                top = max(int(line.max(initial=0)), int(pc.max(asked[i:j].flatten()).as_py() or 0)) + 1
-                want = np.sort(np.concatenate([(k - i) * top + np.array(asked[k].as_py(), np.int64) for k in range(i, j)]))
-                group = owner * top + line
-                hit = want[np.minimum(np.searchsorted(want, group), len(want) - 1)] == group
-                docs, lines, words = [], [], []
-                for g, bounds, w in _sets(hashes[hit], group[hit], place.value):
-                    docs += (i + g // top).tolist()
-                    lines += (g % top).tolist()
-                    words += [w[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(docs, pa.int64())), pa.array(lines, pa.int32()), pa.array(words, pa.binary())], names=["doc", "line", "words"])
-
-    return tx.packed(texts, ["doc"]).join(lists, "doc").select("doc", "__size", "__z", "lines").mapInArrow(run, "doc long, line int, words binary")
+            ids = batch.column(0).to_numpy()
+            data, offsets = tx.buffers(batch.column(1))
+            for i, j in tx.slices(offsets):
+                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                owner, number, start, end = _cuts(part, own)
+                at = _place(ids[i + owner], number)
+                hit = np.flatnonzero((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                if not len(hit):
+                    continue
+                bounds = np.r_[0, np.cumsum(end[hit] - start[hit])]
+                rows = np.concatenate([part[a:b] for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True)])
+                hashes, _, of = tx.words(rows, bounds)
+                for group, cuts, words in _sets(hashes, of, place.value):
+                    _, k1, _ = _set_keys(words, cuts[:-1])
+                    which = hit[group]
+                    cols = [pa.array(ids[i + owner[which]]), pa.array(number[which].astype(np.int32)), pa.array(k1.view(np.int64)), _binary(words, np.diff(cuts))]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*_KEY, "words"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc long, line int, k1 long, words binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, place, percent: int, work: Workspace) -> DataFrame:
     """The later lines of the pairs that reach the threshold on whole lines."""
-    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("line2").alias("line")))
-    sets = work.save(_whole(texts, wanted, place), "whole")
-    other = sets.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
+    lines = pairs.select("doc", "line").unionByName(pairs.selectExpr("doc2 as doc", "line2 as line"))
+    held = texts.sparkSession.sparkContext.broadcast(_wanted(lines))
+    whole = work.save(_whole(texts, held, place), "whole")
+    sets = whole.dropDuplicates(_KEY)
+    other = sets.select(*(F.col(c).alias(f"{c}2") for c in _KEY), F.col("words").alias("words2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            for a, b in zip(batch.column(3), batch.column(4), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["doc", "line"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in range(3)], names=_KEY)
 
-    rows = pairs.join(sets.dropDuplicates(["doc", "line"]), ["doc", "line"]).join(other.dropDuplicates(["doc2", "line2"]), ["doc2", "line2"])
-    return rows.select("doc", "line", "words", "words2").mapInArrow(run, "doc long, line int").distinct()
+    rows = pairs.join(sets, _KEY).join(other, [f"{c}2" for c in _KEY])
+    gone = work.save(rows.select(*_KEY, "words", "words2").mapInArrow(run, "doc long, line int, k1 long").distinct(), "gone")
+    work.drop(whole)
+    return gone
 
 
-def repeated_lines(docs: DataFrame, *, percent: int = 75, buckets: int = 1 << 20, most: int = 1024, part_entries: int = 1 << 18, first_pairs: int = 4) -> DataFrame:
-    """``doc, line`` of each line that is similar to an earlier one; ``docs`` has ``doc`` and ``text``.
+def repeated_lines(docs: DataFrame, work: Workspace, *, percent: int = 75, buckets: int = 1 << 20, often: int = 1024, long: int = 4096, part_entries: int = 1 << 19) -> DataFrame:
+    """``doc, h, line`` of each line that is similar to an earlier one; ``docs`` has ``doc``, ``h`` (a hash of the text) and ``text``.
 
-    Rows of one ``doc`` must have one text.
+    Lists above ``long`` entries are compared by leaders, which costs less in
+    families of variants; the candidates differ, the result does not.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "lines")
-    place = spark.sparkContext.broadcast(word_order(docs, buckets))
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50: similar lines then share two words at least")
+    context = docs.sparkSession.sparkContext
+    place = context.broadcast(word_order(docs, buckets))
     lines = work.save(_lines(docs, place, percent), "lines")
-    first = [F.min(F.struct("doc", "line")).alias("first"), *(F.first(c).alias(c) for c in ("n", "prefix", *_BITS))]
-    work.release()
-    classes = work.save(lines.groupBy("k1", "k2").agg(*first).select("k1", "k2", "first.*", "n", "prefix", *_BITS), "classes")
-    work.release()
-    entries = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    parts = max(math.ceil(entries / part_entries), 1)
-    found = _spread(classes, parts).groupBy("part").applyInArrow(lambda t: _candidates(t, percent, most, first_pairs), _PAIR + ", listed int, word int, at int")
-    found = work.save(found, "candidates")
-    work.release()
-    pairs = found.where("listed = 0").select("doc", "line", "doc2", "line2").distinct()
-    maps = classes.select("doc", "line", "n", *_BITS)
-    a, b = maps.alias("a"), maps.alias("b")
-
-    def near(some: DataFrame) -> DataFrame:
-        both = some.alias("p").join(a, F.expr("p.doc = a.doc and p.line = a.line")).join(b, F.expr("p.doc2 = b.doc and p.line2 = b.line"))
-        return both.where(_near(percent)).select("p.*")
-
-    pairs = work.save(near(pairs), "pairs")
-    gone = work.save(_verify(pairs, docs, place, percent, work), "gone")
-    work.release()
-    listed = found.where("listed = 1").select("word", "doc", "line", "at").join(maps, ["doc", "line"])
-    open_ = listed.join(gone, ["doc", "line"], "left_anti")
-    earlier = F.expr("a.word = b.word and (b.doc < a.doc or b.doc = a.doc and b.line < a.line) and b.n * 100 >= a.n * {p} and a.n * 100 >= b.n * {p} and {q} * least(a.n - a.at, b.n - b.at) >= {p} * (a.n + b.n)".format(p=percent, q=100 + percent))
-    rest = open_.alias("a").join(listed.alias("b"), earlier & _near(percent)).selectExpr("a.doc", "a.line", "b.doc as doc2", "b.line as line2").distinct()
-    rest = work.save(rest.join(pairs, ["doc", "line", "doc2", "line2"], "left_anti"), "rest")
-    gone = gone.unionByName(_verify(rest, docs, place, percent, work)) if rest.first() is not None else gone
-    removed = classes.select("k1", "k2", "doc", "line").join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
-    removed = removed.select("k1", "k2", F.col("doc").alias("doc2"), F.col("line").alias("line2"), "gone")
-    mine = lines.select("k1", "k2", "doc", "line").join(removed, ["k1", "k2"])
-    return mine.where("gone or doc != doc2 or line != line2").select("doc", "line")
-
-
-def _numbered(texts: DataFrame, work: Workspace) -> DataFrame | None:
-    """``doc, h1, h2`` of each distinct text of each ``doc`` and its ``number`` in this order; None if no ``doc`` has two."""
-    ids = work.save(texts.select("doc", "h1", "h2").distinct(), "ids")
-    if ids.groupBy("doc").count().where("count > 1").first() is None:
-        return None
-    return work.save(ids.orderBy("doc", "h1", "h2").withColumn("number", F.monotonically_increasing_id()), "numbers")
+    first = [F.min(F.struct("doc", "line", "h")).alias("first"), (F.count("*") > 1).alias("many"), *(F.first(c).alias(c) for c in ("n", "prefix", *_BITS))]
+    classes = work.save(lines.groupBy("k1", "k2").agg(*first).select("k1", "k2", "first.*", "many", "n", "prefix", *_BITS), "classes")
+    entries, words = frequent_words(classes, percent, often, buckets)
+    parts, frequent = max(math.ceil(entries / part_entries), 1), context.broadcast(words)
+    lists = _spread(classes.withColumn("open", F.lit(0)), percent, parts, frequent)
+    found = work.save(lists.groupBy("part").applyInArrow(lambda t: _candidates(t, percent, long, False), _PAIR), "candidates")
+    chosen = F.min(F.struct("ratio", *(f"{c}2" for c in _KEY))).alias("best")
+    more = (F.max("more") | (F.min("k12") != F.max("k12"))).alias("more")
+    pairs = work.save(found.groupBy(*_KEY).agg(chosen, more).select(*_KEY, "best.*", "more"), "pairs")
+    work.drop(found)
+    gone = _verify(pairs, docs, place, percent, work)
+    left = pairs.where("more").select(*_KEY).join(gone, _KEY, "left_anti")
+    open_ = work.save(classes.join(left.withColumn("open", F.lit(1)), _KEY).select(*_KEY, "n", "prefix", *_BITS, "open"), "open")
+    if open_.first() is not None:
+        rest = work.save(_again(classes, open_, percent, parts, frequent), "rest")
+        gone = gone.unionByName(_verify(rest, docs, place, percent, work))
+    of_class = classes.select("k1", "k2", "doc", "line", "h", "many").join(gone.withColumn("gone", F.lit(True)), _KEY, "left")
+    marked = of_class.where("many or gone").select("k1", "k2", *(F.col(c).alias(f"{c}1") for c in ("doc", "line", "h")), "gone")
+    mine = lines.select("k1", "k2", "doc", "line", "h").join(marked, ["k1", "k2"])
+    out = work.save(mine.where("gone or doc != doc1 or line != line1 or h != h1").select("doc", "h", "line"), "removed")
+    work.keep_only(out)
+    return out
+
+
+def _again(classes: DataFrame, open_: DataFrame, percent: int, parts: int, frequent, most: int = 1 << 21) -> DataFrame:
+    """All candidates of the open lines.  Only their lists are dealt out, unless they are in more than ``most``."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.unique(_keys(batch, percent, frequent.value)[2])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int32))], names=["word"])
+
+    context = classes.sparkSession.sparkContext
+    words = open_.select("n", "prefix").mapInArrow(own, "word int").distinct()
+    words = words.limit(most + 1).toArrow()["word"].to_numpy()
+    wanted = context.broadcast(np.sort(words.astype(np.int32).view(np.uint32))) if len(words) <= most else None
+    marked = open_.select(*_KEY, "open")
+    rows = classes.join(marked, _KEY, "left").withColumn("open", F.coalesce("open", F.lit(0)))
+    return _spread(rows, percent, parts, frequent, wanted).groupBy("part").applyInArrow(lambda t: _candidates(t, percent, 0, True), _PAIR).select(*_KEY, *(f"{c}2" for c in _KEY)).distinct()
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
@@ -315,29 +485,19 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     the removed lines, from 0).  Lines without words are never removed; null
     and empty texts stay.  Rows that repeat a ``doc_id`` and its text are one
     document: a line is not removed for the same line of the same document.
-    Different texts of one ``doc_id`` are documents of their own, in the order
-    of their hashes.  Documents with a null ``doc_id`` come last.  Columns named
-    like the added ones are replaced.  An empty table gives an empty result.
+    Different texts of one ``doc_id`` are documents of their own; their lines
+    of equal number are in order of their hashes.  Documents with a null
+    ``doc_id`` come last.  Columns named like the added ones are replaced.  An
+    empty table gives an empty result.
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     text = F.col("text").cast("string")
-    hashes = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
-    texts = docs.select(doc.alias("doc"), *hashes, text.alias("text"))
-    work = Workspace(docs.sparkSession, "documents")
-    numbers = _numbered(texts, work)
-    keys = ["doc"]
-    if numbers is not None:
-        keys = ["doc", "h1", "h2"]
-        texts = work.save(texts.join(numbers, keys).select(F.col("number").alias("doc"), "text"), "texts")
-    lists = repeated_lines(texts.select("doc", "text"), **how).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    if numbers is not None:
-        lists = lists.withColumnRenamed("doc", "number").join(numbers, "number").select(*keys, "removed")
-    lists = lists.select(*(F.col(k).alias(f"__{k}") for k in keys), "removed")
-    keys = [f"__{k}" for k in keys]
+    work = Workspace(docs.sparkSession, "lines")
+    gone = repeated_lines(docs.select(doc.alias("doc"), F.xxhash64(text).alias("h"), text.alias("text")), work, **how)
+    lists = gone.groupBy(F.col("doc").alias("__doc"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_set("line")).alias("removed"))
     kept = [c for c in docs.columns if c not in ("n_lines", "removed", "text")]
-    own = dict(zip(["__doc", "__h1", "__h2"], [doc, *hashes], strict=True))
-    rows = docs.select(*kept, text.alias("text"), *(own[k].alias(k) for k in keys))
-    out = tx.packed(rows, [*kept, *keys]).join(lists, keys, "left").drop(*keys)
+    rows = docs.select(*kept, text.alias("text"), doc.alias("__doc"), F.xxhash64(text).alias("__h"))
+    out = tx.packed(rows, [*kept, "__doc", "__h"]).join(lists, ["__doc", "__h"], "left").drop("__doc", "__h")
     return out.mapInArrow(_cut(len(kept)), _cut_schema(docs, kept))
 
 

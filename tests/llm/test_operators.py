@@ -403,7 +403,7 @@ def test_leaks(spark, pass_bytes):
 # -- 8 ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("settings", [{}, {"most": 1, "buckets": 1 << 10, "part_entries": 50}, {"first_pairs": 0}])
+@pytest.mark.parametrize("settings", [{}, {"often": 1, "buckets": 1 << 10, "part_entries": 50}, {"long": 2}, {"often": 0, "long": 1}])
 def test_lines(spark, settings):
     rng = random.Random(8)
     vocabulary = [f"v{i}" for i in range(60)]
@@ -448,6 +448,36 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert found[first] == [] and found[rows[3][1]] == found[rows[7][1]] == []
 
 
+def test_lines_of_different_texts_under_one_id(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(40)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(4, 12))] for _ in range(12)]
+
+    def line():
+        w = list(rng.choice(base))
+        w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        return " ".join(w)
+
+    rows = [(rng.choice([1, 2, None]), "\n".join(line() for _ in range(rng.randint(1, 4)))) for _ in range(30)]
+    rows = sorted(set(rows), key=str)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    place, removed = {}, set()
+    for r in line_dedup.dedup_lines(frame.withColumn("raw", F.col("text")), often=1).collect():
+        raw = r["raw"].split("\n")
+        assert r["n_lines"] == len(raw) and r["text"] == "\n".join(x for k, x in enumerate(raw) if k not in r["removed"])
+        for k, x in enumerate(raw):
+            place[(r["doc_id"] is None, r["doc_id"] or 0, k), r["raw"]] = set(words(x))
+            if k in r["removed"]:
+                removed.add(((r["doc_id"] is None, r["doc_id"] or 0, k), r["raw"]))
+    assert len({x[1] for x in place}) == len(rows)
+    for at, s in place.items():
+        alike = [o for o, t in place.items() if o != at and 100 * len(s & t) >= 75 * len(s | t)]
+        before, level = [o for o in alike if o[0] < at[0]], [o for o in alike if o[0] == at[0]]
+        assert at in removed if before else at not in removed or level
+        assert before or not level or any(o not in removed for o in [at, *alike])
+    assert len(removed) > 20
+
+
 def test_lines_edges(spark, odd):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     out = line_dedup.dedup_lines(odd)
