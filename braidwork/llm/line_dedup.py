@@ -18,10 +18,10 @@ order of ``doc_id`` and line number; where different texts share a ``doc_id``
    words' lists would grow with the corpus.
 4. In a list, the length filter, the positions of the common word and the
    bitmaps rule out most pairs.  Each later line keeps only its best candidate,
-   so a family of variants costs one pair a line, not all pairs.  It is
-   verified on the whole lines.
-5. Lines whose best candidate fails, and that have others, meet their lists
-   again, and all their candidates are verified.
+   or a few where the best is close to the limit, so a family of variants costs
+   a few pairs a line, not all pairs.  They are verified on the whole lines.
+5. Lines whose candidates fail, and that have more, meet their lists again, and
+   all their candidates are verified.
 """
 
 from __future__ import annotations
@@ -41,6 +41,9 @@ from ._work import Workspace
 
 _LOW = np.uint64((1 << 24) - 1)
 _WORDS = 2  # 64-bit words of a bitmap
+_SHORT = 48  # sets up to this size have one word: theirs, folded
+#: A line whose best candidate is within this share of the limit, in thousandths, is verified with it alone at first.
+_SURE = 600
 _BITS = [f"b{k}" for k in range(_WORDS)]
 _KEY = ["doc", "line", "k1"]
 _LINE = "doc long, line int, h long, k1 long, k2 long, n int, prefix binary, " + ", ".join(f"{b} long" for b in _BITS)
@@ -130,6 +133,7 @@ def _lines(docs: DataFrame, place, percent: int) -> DataFrame:
                     spread, k1, k2 = _set_keys(words, low)
                     bit, where = np.uint64(1) << (spread & np.uint64(63)), (spread >> np.uint64(6)) % np.uint64(_WORDS)
                     maps = [np.bitwise_xor.reduceat(np.where(where == k, bit, np.uint64(0)), low) for k in range(_WORDS)]
+                    maps = [np.where(n <= _SHORT, maps[0] ^ maps[1], maps[0]), np.where(n <= _SHORT, np.uint64(0), maps[1])]
                     size = np.minimum(n - _needed(n, percent) + 2, n)  # one word more, for pairs of words
                     place_in = np.arange(len(words)) - np.repeat(low, n)
                     kept = (spread[place_in < np.repeat(size, n)] >> np.uint64(32)).astype(np.uint32)  # equal words stay equal; the rest is for the verification
@@ -209,14 +213,15 @@ def _keys(batch: pa.RecordBatch, percent: int, frequent: np.ndarray) -> tuple[np
 
 
 def _spread(classes: DataFrame, percent: int, parts: int, frequent, wanted=None) -> DataFrame:
-    """Entries packed by the partition of their list; with ``wanted``, of these lists only."""
+    """Entries packed by the partition of their list; with ``wanted``, of the lists and sizes in this filter only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
         for batch in batches:
             row, at, word = _keys(batch, percent, frequent.value)
             if wanted is not None:
-                some = _among(word, wanted.value)
+                n = batch.column(batch.schema.get_field_index("n")).to_numpy().astype(np.int64)
+                some = _held(wanted.value, _list_place(word, _size_class(n[row])))
                 row, at, word = row[some], at[some], word[some]
             to = word.astype(np.int64) % parts
             order = np.argsort(to, kind="stable")
@@ -231,6 +236,15 @@ def _spread(classes: DataFrame, percent: int, parts: int, frequent, wanted=None)
     return classes.select(*fixed, F.col("open").cast("byte").alias("open")).mapInArrow(run, "part int, m int, z binary")
 
 
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return (8 * np.log2(n)).astype(np.int64)
+
+
+def _list_place(word: np.ndarray, size_class: np.ndarray) -> np.ndarray:
+    """Bit of a list's lines of one size class in the filter of wanted lists."""
+    return (tx.mix((word.astype(np.uint64) << np.uint64(16)) + size_class.astype(np.uint64)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+
+
 def _entries(table: pa.Table) -> dict[str, np.ndarray]:
     codec, width = pa.Codec("zstd"), sum(np.dtype(k).itemsize for k in _ENTRY.values())
     parts: dict[str, list[np.ndarray]] = {f: [] for f in _ENTRY}
@@ -255,13 +269,14 @@ def _blocks(low: np.ndarray, high: np.ndarray, x: np.ndarray) -> Iterator[tuple[
         at = upto
 
 
-def _candidates(table: pa.Table, percent: int, long: int, again: bool) -> pa.Table:
-    """For each later line its best earlier candidate and whether it has more; if ``again``, all candidates of open lines."""
+def _candidates(table: pa.Table, percent: int, long: int, few: int, again: bool) -> pa.Table:
+    """For each later line its best earlier candidates and whether it has more; if ``again``, all candidates of open lines."""
     f = _entries(table)
     order = np.lexsort((f["n"], f["word"]))
     f = {k: v[order] for k, v in f.items()}
     n, at = f["n"].astype(np.int64), f["at"].astype(np.int64)
     maps = [f[b].view(np.uint64) for b in _BITS]
+    folded = maps[0] ^ maps[1]
     # ``who`` numbers the lines of this partition in their order
     by = np.lexsort((f["k1"], f["line"], f["doc"]))
     fresh = np.r_[True, np.any([f[c][by][1:] != f[c][by][:-1] for c in _KEY], axis=0)]
@@ -273,25 +288,32 @@ def _candidates(table: pa.Table, percent: int, long: int, again: bool) -> pa.Tab
     of = np.repeat(np.arange(len(starts)), size)
     width = int(n.max()) + 2
     sorted_key = of * width + n  # rises
-    best = np.full(len(line), np.iinfo(np.int64).max)
-    least, last, many = best.copy(), np.full(len(line), -1), np.zeros(len(line), bool)
+    best, many = np.zeros(0, np.uint64), np.zeros(len(line), bool)
+    wide = np.uint64(26)
+    if len(line) >> 26:
+        raise ValueError("more lines in a part than their numbers can hold")
 
     def able(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs that may be similar, and their distance by the bitmaps in thousandths of the limit."""
         some = ((100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y])) & (who[x] != who[y])
         x, y = x[some], y[some]
-        apart = np.zeros(len(x), np.int64)
-        for m in maps:
-            apart += np.bitwise_count(m[x] ^ m[y])
+        apart = np.bitwise_count(folded[x] ^ folded[y]).astype(np.int64)
+        wide = np.minimum(n[x], n[y]) > _SHORT
+        a, b = x[wide], y[wide]
+        apart[wide] = sum(np.bitwise_count(m[a] ^ m[b]).astype(np.int64) for m in maps)
         limit = (100 - percent) * (n[x] + n[y])
         some = (100 + percent) * apart <= limit
         return x[some], y[some], 1000 * (100 + percent) * apart[some] // np.maximum(limit[some], 1)
 
     def keep(x: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> None:
-        a, b = np.maximum(who[x], who[y]), np.minimum(who[x], who[y])
-        np.minimum.at(best, a, ratio << 44 | b)
-        np.minimum.at(least, a, b)
-        np.maximum.at(last, a, b)
+        """Holds the best candidates of each later line, as later line, distance and earlier line in one number."""
+        nonlocal best
+        a, b = np.maximum(who[x], who[y]).astype(np.uint64), np.minimum(who[x], who[y]).astype(np.uint64)
+        best = tx.distinct(np.concatenate([best, (a << np.uint64(36)) | (ratio.astype(np.uint64) << wide) | b]))
+        a = (best >> np.uint64(36)).astype(np.int64)
+        over = np.r_[np.zeros(few, bool), a[few:] == a[:-few]][: len(a)]
+        many[a[over]] = True
+        best = best[~over]
 
     def leaders(x: np.ndarray) -> None:
         """Lines are compared with those that are like no earlier one, these with all."""
@@ -331,9 +353,13 @@ def _candidates(table: pa.Table, percent: int, long: int, again: bool) -> pa.Tab
         high = np.searchsorted(sorted_key, of[x] * width + np.minimum(100 * n[x] // percent, width - 1), side="right")
         for a, b in _blocks(x + 1, high, x):
             keep(*able(a, b))
-        later = np.flatnonzero(last >= 0)
-        earlier, ratio = best[later] & ((1 << 44) - 1), (best[later] >> 44).astype(np.int32)
-        more = many[later] | (least[later] != last[later])
+        later, ratio, earlier = (best >> np.uint64(36)).astype(np.int64), ((best >> wide) & np.uint64(1023)).astype(np.int32), (best & np.uint64((1 << 26) - 1)).astype(np.int64)
+        fresh = np.r_[True, later[1:] != later[:-1]][: len(later)]
+        sure = (ratio[fresh] <= _SURE)[np.cumsum(fresh) - 1]
+        many[later[sure & ~fresh]] = True
+        some = fresh | ~sure
+        later, ratio, earlier = later[some], ratio[some], earlier[some]
+        more = many[later]
     a, b = line[later], line[earlier]
     cols = {c: f[c][a] for c in _KEY} | {f"{c}2": f[c][b] for c in _KEY} | {"ratio": ratio, "more": more}
     return pa.table(cols)
@@ -344,13 +370,13 @@ def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (tx.mix(tx.mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
 
-def _wanted(lines: DataFrame) -> np.ndarray:
-    """A filter of fixed size that holds all of ``lines`` (and, the more there are, others)."""
+def _marks(at: np.ndarray) -> pa.RecordBatch:
+    at = tx.distinct(at.astype(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array((at >> 16).astype(np.int32)), pa.array((at & 0xFFFF).astype(np.int32))], names=["chunk", "bit"])
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = tx.distinct(_place(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> 16).astype(np.int32)), pa.array((at & 0xFFFF).astype(np.int32))], names=["chunk", "bit"])
+
+def _filter(marks: DataFrame) -> np.ndarray:
+    """A bit table of fixed size from the distinct ``chunk, bit`` of ``marks``."""
 
     def gather(table: pa.Table) -> pa.Table:
         bits = np.zeros(1 << 16, np.uint8)
@@ -358,11 +384,25 @@ def _wanted(lines: DataFrame) -> np.ndarray:
         return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     out = np.zeros((1 << _FILTER_BITS) // 8, np.uint8)
-    for r in lines.mapInArrow(mark, "chunk int, bit int").distinct().groupBy("chunk").applyInArrow(gather, "chunk int, bits binary").toLocalIterator():
+    for r in marks.distinct().groupBy("chunk").applyInArrow(gather, "chunk int, bits binary").toLocalIterator():
         out[r["chunk"] << 13 : (r["chunk"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def _held(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def _wanted(lines: DataFrame) -> np.ndarray:
+    """A filter that holds all of ``lines`` (and, the more there are, others)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _marks(_place(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+
+    return _filter(lines.mapInArrow(mark, "chunk int, bit int"))
+
+
 def _cuts(part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, number, start and end of each line of texts laid end to end."""
     breaks = np.flatnonzero(part == 10)
@@ -386,7 +426,7 @@ def _whole(texts: DataFrame, held, place) -> DataFrame:
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 owner, number, start, end = _cuts(part, own)
                 at = _place(ids[i + owner], number)
-                hit = np.flatnonzero((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                hit = np.flatnonzero(_held(held.value, at))
                 if not len(hit):
                     continue
                 bounds = np.r_[0, np.cumsum(end[hit] - start[hit])]
@@ -425,10 +465,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, place, percent: int, work: Works
     return gone
 
 
-def repeated_lines(docs: DataFrame, work: Workspace, *, percent: int = 75, buckets: int = 1 << 20, often: int = 1024, long: int = 4096, part_entries: int = 1 << 19) -> DataFrame:
+def repeated_lines(docs: DataFrame, work: Workspace, *, percent: int = 75, buckets: int = 1 << 20, often: int = 1024, long: int = 4096, few: int = 8, part_entries: int = 1 << 19) -> DataFrame:
     """``doc, h, line`` of each line that is similar to an earlier one; ``docs`` has ``doc``, ``h`` (a hash of the text) and ``text``.
 
-    Lists above ``long`` entries are compared by leaders, which costs less in
+    Each line has its best candidate verified first, or its ``few`` best ones
+    if that one is close to the limit.  Lists above ``long`` entries are compared by leaders, which costs less in
     families of variants; the candidates differ, the result does not.
     """
     if not 50 < percent <= 100:
@@ -441,14 +482,14 @@ def repeated_lines(docs: DataFrame, work: Workspace, *, percent: int = 75, bucke
     entries, words = frequent_words(classes, percent, often, buckets)
     parts, frequent = max(math.ceil(entries / part_entries), 1), context.broadcast(words)
     lists = _spread(classes.withColumn("open", F.lit(0)), percent, parts, frequent)
-    found = work.save(lists.groupBy("part").applyInArrow(lambda t: _candidates(t, percent, long, False), _PAIR), "candidates")
-    chosen = F.min(F.struct("ratio", *(f"{c}2" for c in _KEY))).alias("best")
-    more = (F.max("more") | (F.min("k12") != F.max("k12"))).alias("more")
-    pairs = work.save(found.groupBy(*_KEY).agg(chosen, more).select(*_KEY, "best.*", "more"), "pairs")
+    found = work.save(lists.groupBy("part").applyInArrow(lambda t: _candidates(t, percent, long, few, False), _PAIR), "candidates")
+    tried = F.sort_array(F.collect_set(F.struct("ratio", *(f"{c}2" for c in _KEY)))).alias("tried")  # at most ``few`` from each of the line's lists
+    pairs = found.groupBy(*_KEY).agg(tried, F.max("more").alias("more")).withColumn("few", F.when(F.expr(f"tried[0].ratio <= {_SURE}"), 1).otherwise(few))
+    pairs = pairs.select(*_KEY, (F.col("more") | (F.size("tried") > F.col("few"))).alias("more"), F.explode(F.slice("tried", F.lit(1), F.col("few"))).alias("pair"))
+    pairs = work.save(pairs.select(*_KEY, "pair.*", "more"), "pairs")
     work.drop(found)
     gone = _verify(pairs, docs, place, percent, work)
-    left = pairs.where("more").select(*_KEY).join(gone, _KEY, "left_anti")
-    open_ = work.save(classes.join(left.withColumn("open", F.lit(1)), _KEY).select(*_KEY, "n", "prefix", *_BITS, "open"), "open")
+    open_ = work.save(pairs.where("more").select(*_KEY).distinct().join(gone, _KEY, "left_anti"), "open")
     if open_.first() is not None:
         rest = work.save(_again(classes, open_, percent, parts, frequent), "rest")
         gone = gone.unionByName(_verify(rest, docs, place, percent, work))
@@ -460,21 +501,39 @@ def repeated_lines(docs: DataFrame, work: Workspace, *, percent: int = 75, bucke
     return out
 
 
-def _again(classes: DataFrame, open_: DataFrame, percent: int, parts: int, frequent, most: int = 1 << 21) -> DataFrame:
-    """All candidates of the open lines.  Only their lists are dealt out, unless they are in more than ``most``."""
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.unique(_keys(batch, percent, frequent.value)[2])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int32))], names=["word"])
+def _again(classes: DataFrame, open_: DataFrame, percent: int, parts: int, frequent, most: int = 1 << 20) -> DataFrame:
+    """All candidates of the open lines; only lists and sizes that they can match in are dealt out.
 
+    Open lines are marked by a broadcast of their keys if there are at most
+    ``most``, else by a join.
+    """
     context = classes.sparkSession.sparkContext
-    words = open_.select("n", "prefix").mapInArrow(own, "word int").distinct()
-    words = words.limit(most + 1).toArrow()["word"].to_numpy()
-    wanted = context.broadcast(np.sort(words.astype(np.int32).view(np.uint32))) if len(words) <= most else None
-    marked = open_.select(*_KEY, "open")
-    rows = classes.join(marked, _KEY, "left").withColumn("open", F.coalesce("open", F.lit(0)))
-    return _spread(rows, percent, parts, frequent, wanted).groupBy("part").applyInArrow(lambda t: _candidates(t, percent, 0, True), _PAIR).select(*_KEY, *(f"{c}2" for c in _KEY)).distinct()
+    keys = open_.select("k1").limit(most + 1).toArrow()["k1"].to_numpy()  # the limit is the check of the size
+    if len(keys) <= most:
+        held = context.broadcast(np.sort(keys))
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                some = _among(batch.column(batch.schema.get_field_index("k1")).to_numpy(), held.value)
+                yield batch.append_column("open", pa.array(some.astype(np.int32)))
+
+        fields = T.StructType([*classes.schema.fields, T.StructField("open", T.IntegerType())])
+        marked = classes.mapInArrow(mark, fields)
+    else:
+        marked = classes.join(open_.withColumn("open", F.lit(1)), _KEY, "left").withColumn("open", F.coalesce("open", F.lit(0)))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(0).to_numpy().astype(np.int64)
+            row, _, word = _keys(batch, percent, frequent.value)
+            low, high = _size_class(_needed(n, percent))[row], _size_class(100 * n // percent)[row]
+            which = np.repeat(np.arange(len(row)), high - low + 1)
+            size = low[which] + np.arange(len(which)) - np.searchsorted(which, which)
+            yield _marks(_list_place(word[which], size))
+
+    wanted = context.broadcast(_filter(marked.where("open = 1").select("n", "prefix").mapInArrow(lists, "chunk int, bit int")))
+    dealt = _spread(marked, percent, parts, frequent, wanted).groupBy("part")
+    return dealt.applyInArrow(lambda t: _candidates(t, percent, 0, 0, True), _PAIR).select(*_KEY, *(f"{c}2" for c in _KEY)).distinct()
 
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:

@@ -403,7 +403,7 @@ def test_leaks(spark, pass_bytes):
 # -- 8 ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("settings", [{}, {"often": 1, "buckets": 1 << 10, "part_entries": 50}, {"long": 2}, {"often": 0, "long": 1}])
+@pytest.mark.parametrize("settings", [{}, {"often": 1, "buckets": 1 << 10, "part_entries": 50}, {"long": 2, "few": 1}, {"often": 0, "long": 1, "few": 1}, {"few": 1}])
 def test_lines(spark, settings):
     rng = random.Random(8)
     vocabulary = [f"v{i}" for i in range(60)]
