@@ -11,7 +11,8 @@ before its home, so that each pair meets once.  Cells are joined independently,
 as a grid of blocks of bounded size, and every pair is confirmed by its cosine
 in double precision.
 
-Equal vectors are one class with a multiplicity.  A block returns link counts
+Equal vectors are one class with a multiplicity and a number of its own, so
+different vectors that share a ``vec_id`` stay apart.  A block returns link counts
 and one edge for each linked member (a forest), never its pairs.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._work import Workspace
 
-_MEMBER = "label string, dim int, cell int, home boolean, rep long, m long, vector array<double>"
+_MEMBER = "label string, dim int, cell int, home boolean, number long, m long, vector array<double>"
 _KEYS = ["label", "dim", "cell"]
 
 
@@ -51,12 +52,12 @@ def _chords(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def _join_block(table: pa.Table, threshold: float) -> pa.Table:
     home = table["role"].to_numpy() == 0
     vectors = _units(table["vector"].combine_chunks(), 0)
-    rep, m, own = table["rep"].to_numpy(), table["m"].to_numpy(), table["home"].to_numpy(zero_copy_only=False)
+    number, m, own = table["number"].to_numpy(), table["m"].to_numpy(), table["home"].to_numpy(zero_copy_only=False)
     a, b = np.flatnonzero(home), np.flatnonzero(~home)
     linked = (vectors[a] @ vectors[b].T) >= threshold
-    linked &= rep[a][:, None] != rep[b][None, :]
+    linked &= number[a][:, None] != number[b][None, :]
     counts = np.concatenate([linked @ m[b], np.where(own[b], 0, m[a] @ linked)])
-    ids = np.concatenate([rep[a], rep[b]])
+    ids = np.concatenate([number[a], number[b]])
     x, y = np.nonzero(linked)
     least = ids.copy()
     while len(x):
@@ -66,7 +67,7 @@ def _join_block(table: pa.Table, threshold: float) -> pa.Table:
         if (least == before).all():
             break
     keep = (counts > 0) | (least < ids)
-    return pa.table({"rep": pa.array(ids[keep]), "links": pa.array(counts[keep].astype(np.int64)), "other": pa.array(least[keep])})
+    return pa.table({"number": pa.array(ids[keep]), "links": pa.array(counts[keep].astype(np.int64)), "other": pa.array(least[keep])})
 
 
 def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, cell_rows: int = 4096, block_rows: int = 1024, most_pivots: int = 128) -> DataFrame:
@@ -76,8 +77,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, cell_rows: int
     ``label``; other columns are ignored.  Returns ``vec_id, n_links,
     component_id, kept``, one row for each input row.  Vectors link only within
     a label and a length.  A null label or vector, an empty or zero vector and
-    one with null or non-finite components link with nothing.  A repeated row
-    counts as another vector.  A null ``vec_id`` links with nothing, has a null
+    one with null or non-finite components link with nothing.  Each row is
+    a vector of its own, also where rows share a ``vec_id``.  A null ``vec_id`` links with nothing, has a null
     component and is kept.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -89,10 +90,10 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, cell_rows: int
     sound &= F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumns({"k1": F.xxhash64("label", "vector"), "k2": F.xxhash64(F.lit(1), "vector", "label")})
     keys = ["k1", "k2"]
-    classes = work.save(rows.where("sound").groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("vector").alias("vector")), "classes")
+    classes = work.save(rows.where("sound").groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("vector").alias("vector")).withColumn("number", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     wanted = min(max(n // cell_rows, 1), most_pivots)
-    drawn = [np.array(r[0]) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vector").collect()]
+    drawn = [np.array(r[0]) for r in classes.orderBy(F.xxhash64(*keys), *keys).limit(wanted).select("vector").collect()]
     dim = max((len(p) for p in drawn), default=1)
     pivots = np.stack([np.pad(p / np.abs(p).max(), (0, dim - len(p))) for p in drawn]) if drawn else np.ones((1, 1))
     pivots /= np.sqrt((pivots * pivots).sum(axis=1, keepdims=True))
@@ -122,21 +123,24 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, cell_rows: int
                     i = pa.array(x[k : k + 2048])
                     some = batch.take(i)
                     cols = [some.column(0), some.column(3).value_lengths().cast(pa.int32()), pa.array(cell[k : k + 2048].astype(np.int32)), pa.array(np.full(len(i), own)), some.column(1), some.column(2), some.column(3)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["label", "dim", "cell", "home", "rep", "m", "vector"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["label", "dim", "cell", "home", "number", "m", "vector"])
 
-    members = work.save(classes.select("label", "rep", "m", "vector").mapInArrow(deal, _MEMBER), "members")
+    members = work.save(classes.select("label", "number", "m", "vector").mapInArrow(deal, _MEMBER), "members")
     sizes = members.groupBy(*_KEYS).agg(F.ceil(F.sum(F.col("home").cast("long")) / block_rows).alias("nh"), F.ceil(F.count("*") / block_rows).alias("na"))
-    sized = members.join(sizes, _KEYS).withColumns({"h": F.pmod(F.xxhash64("rep"), "nh"), "a": F.pmod(F.xxhash64("rep"), "na")})
+    sized = members.join(sizes, _KEYS).withColumns({"h": F.pmod(F.xxhash64("number"), "nh"), "a": F.pmod(F.xxhash64("number"), "na")})
     first = sized.where("home").withColumns({"role": F.lit(0), "a": F.explode(F.expr("sequence(0L, na - 1)"))})
     second = sized.where("nh > 0").withColumns({"role": F.lit(1), "h": F.explode(F.expr("sequence(0L, nh - 1)"))})
-    blocks = first.unionByName(second).select(*_KEYS, "h", "a", "role", "home", "rep", "m", "vector")
-    joined = work.save(blocks.groupBy(*_KEYS, "h", "a").applyInArrow(lambda t: _join_block(t, threshold), "rep long, links long, other long"), "links")
-    near = components(joined.where("other < rep").select(F.col("rep").alias("u"), F.col("other").alias("v")), work)
-    links = joined.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.select(*keys, "rep", "m").join(links, "rep", "left").join(near.withColumnRenamed("id", "rep"), "rep", "left")
-    of_class = of_class.select(*keys, (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), F.lit(True).alias("sound"))
+    blocks = first.unionByName(second).select(*_KEYS, "h", "a", "role", "home", "number", "m", "vector")
+    joined = work.save(blocks.groupBy(*_KEYS, "h", "a").applyInArrow(lambda t: _join_block(t, threshold), "number long, links long, other long"), "links")
+    near = components(joined.where("other < number").select(F.col("number").alias("u"), F.col("other").alias("v")), work)
+    links = joined.groupBy("number").agg(F.sum("links").alias("links"))
+    of_class = classes.select(*keys, "rep", "m", "number").join(links, "number", "left").join(near.select(F.col("id").alias("number"), F.col("component_id").alias("of")), "number", "left")
+    of_class = of_class.withColumn("of", F.coalesce("of", "number"))
+    least = of_class.groupBy("of").agg(F.min("rep").alias("component_id"))
+    of_class = of_class.join(least, "of").select(*keys, (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("sound"))
     out = rows.select("vec_id", "sound", *keys).join(of_class, [*keys, "sound"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = work.save(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")), "result")
+    work.keep_only(out)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
