@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +109,15 @@ def _core_pairs(ids: np.ndarray, before: np.ndarray, core: int) -> tuple[np.ndar
     return second, before[second].astype(np.int64) * core + ids[second]
 
 
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """A number for each distinct value."""
+    order = np.argsort(values)
+    held = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.r_[False, held[1:] != held[:-1]][: len(held)])
+    return out
+
+
 def _bigrams(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return tx.mix(tx.mix(first) + second * tx._BASE)
 
@@ -123,7 +133,7 @@ def _score_part(table: pa.Table, lexicon: Lexicon, prior: float) -> pa.Table:
     def counted(which: np.ndarray, of: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(which, weights=of == k) for k in (0, 1)], axis=1)
 
-    which = np.unique(hashes, return_inverse=True)[1]
+    which = _numbered(hashes)
     counts = counted(which, flag)
     unigrams = lexicon.unigrams(counts)
     ends, leads = np.flatnonzero(before != _NONE), np.flatnonzero(after < _FAR)
@@ -132,7 +142,7 @@ def _score_part(table: pa.Table, lexicon: Lexicon, prior: float) -> pa.Table:
     near = before < _FAR
     first[near] = lexicon.words[before[near]]
     keys = np.concatenate([_bigrams(first[ends], hashes[ends]), _bigrams(hashes[leads], lexicon.words[after[leads]])])
-    pairs = np.unique(keys, return_inverse=True)[1]
+    pairs = _numbered(keys)
     pair_counts = counted(pairs, np.concatenate([flag[ends], flag[leads]]))
     loss = np.zeros((len(hashes), 2))
     head = before == _NONE
@@ -208,6 +218,8 @@ def score(docs: DataFrame, target: DataFrame, *, core: int = 1024, prior: float
     table = spark.sparkContext.broadcast(pair_loss.astype(np.float32))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        block = (context.partitionId() if context else 0) << 32  # each block has a number of its own
         for batch in batches:
             flags, uids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j, hashes, owner in _blocks(batch.column(2)):
@@ -217,13 +229,13 @@ def score(docs: DataFrame, target: DataFrame, *, core: int = 1024, prior: float
                 to = ((hashes[rest] >> np.uint64(8)) % np.uint64(parts)).astype(np.int64) + flags[i + owner[rest]].astype(np.int64) * parts
                 order = np.argsort(to, kind="stable")
                 bounds = np.searchsorted(to[order], np.arange(2 * parts + 1))
-                rows = []
+                rows, block = [], block + 1
                 for p in np.flatnonzero(np.diff(bounds)).tolist():
                     mine = rest[order[bounds[p] : bounds[p + 1]]]
                     # texts of the target are only counted
                     docs_here, at = np.unique(owner[mine], return_inverse=True) if p < parts else (np.zeros(0, np.int64),) * 2
                     far = hashes[mine[before[mine] == _FAR] - 1]
-                    rows.append((p % parts, p // parts, int(uids[i]) ^ int(uids[j - 1]), uids[i + docs_here].tobytes(), at.astype(np.uint32).tobytes(), hashes[mine].tobytes(), before[mine].tobytes(), after[mine].tobytes(), far.tobytes()))
+                    rows.append((p % parts, p // parts, block, uids[i + docs_here].tobytes(), at.astype(np.uint32).tobytes(), hashes[mine].tobytes(), before[mine].tobytes(), after[mine].tobytes(), far.tobytes()))
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * 6, strict=True))], names=["part", "flag", "block", "uids", "owners", "words", "before", "after", "far"])
