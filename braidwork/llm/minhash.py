@@ -35,6 +35,7 @@ from ._work import Workspace
 
 #: 64-bit words of the parity bitmap of a set.
 _BITMAP = 8
+_BITS = [f"b{k}" for k in range(_BITMAP)]
 SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
@@ -72,7 +73,7 @@ def text_sets(array: pa.Array, width: int) -> Iterator[np.ndarray]:
         hashes, _, owner = tx.words(data[offsets[i] : offsets[j]], own)
         bounds = np.searchsorted(owner, np.arange(j - i + 1))
         for x in tx.shingles(hashes, bounds, width):
-            yield np.unique(x)
+            yield tx.distinct(x)
 
 
 def signatures(docs: DataFrame, *, width: int, permutations: int, bands: int, rows: int) -> DataFrame:
@@ -94,12 +95,19 @@ def signatures(docs: DataFrame, *, width: int, permutations: int, bands: int, ro
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """``id``, the packed shingles and the parity bitmap of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [x.tobytes() for x in text_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "shingles"])
+            out, maps = [], []
+            for x in text_sets(batch.column(1), width):
+                out.append(x.tobytes())
+                place = (x >> np.uint64(20)).astype(np.int64) % (64 * _BITMAP)
+                maps.append(np.packbits((np.bincount(place, minlength=64 * _BITMAP) & 1).astype(np.uint8)).view(np.int64))
+            bits = np.array(maps, np.int64).reshape(len(maps), _BITMAP)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), *(pa.array(bits[:, k]) for k in range(_BITMAP))], names=["id", "shingles", *_BITS])
 
-    return texts.mapInArrow(run, "id long, shingles binary")
+    return texts.mapInArrow(run, "id long, shingles binary, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -140,26 +148,25 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bits than the sets in shingles), prove it below the threshold.
     """
     owner = members.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n"), F.max("component_id").alias("c"))
-    bits = [f"b{k}" for k in range(_BITMAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, x in enumerate(batch.column(3)):
-                own = np.frombuffer(x.as_buffer(), np.uint64)
-                place = (own >> np.uint64(20)).astype(np.int64) % (64 * _BITMAP)
-                odd = np.packbits((np.bincount(place, minlength=64 * _BITMAP) & 1).astype(np.uint8)).view(np.int64)
-                same = [*(batch.column(i)[k].as_py() for i in range(3)), *odd.tolist()]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(own), v)) for v in same), pa.array(own.view(np.int64))], names=["id", "n", "c", *bits, "shingle"])
-
-    rows = sets.join(owner, "id").select("id", "n", "c", "shingles").mapInArrow(run, "id long, n long, c long, " + "".join(f"{b} long, " for b in bits) + "shingle long")
+            data, offsets = tx.buffers(batch.column(3))
+            size = np.diff(offsets) // 8
+            for i, j in tx.slices(offsets):  # bounds the rows of a batch
+                of = pa.array(np.repeat(np.arange(i, j), size[i:j]))
+                own = data[offsets[i] : offsets[j]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(3)), pa.array(own)], names=["id", "n", "c", "shingle"])
+
+    rows = sets.join(owner, "id").select("id", "n", "c", "shingles").mapInArrow(run, "id long, n long, c long, shingle long")
     often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     of_id = Window.partitionBy("id")
     ranked = rows.join(often, "shingle").withColumn("at", F.row_number().over(of_id.orderBy("df", "shingle")) + F.col("n") - F.count("*").over(of_id))
-    prefix = ranked.where(f"at <= n - floor(({percent} * n + 99) / 100) + 1").select("shingle", "id", "n", "c", "at", *bits)
+    prefix = ranked.where(f"at <= n - floor(({percent} * n + 99) / 100) + 1").select("shingle", "id", "n", "c", "at").join(sets.select("id", *_BITS), "id")
     a, b = prefix.alias("a"), prefix.alias("b")
     need = f"{percent} * (a.n + b.n)"
     placed = F.expr(f"{100 + percent} * (1 + least(a.n - a.at, b.n - b.at)) >= {need}")
-    apart = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in bits)
+    apart = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in _BITS)
     near = F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * (a.n + b.n)")
     both = a.join(b, F.expr("a.shingle = b.shingle and a.id > b.id and a.c != b.c") & _alike("a.n", "b.n", percent) & placed & near)
     return both.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
@@ -213,13 +220,16 @@ def near_duplicates(
             links = links.unionByName(near.select(F.col("id").alias("u"), F.col("component_id").alias("v")))
         near = components(links, work)
         if turn < stars:
-            open_ = work.save(_still_open(open_, near), "open")
+            before, open_ = open_, work.save(_still_open(open_, near), "open")
+            work.drop(before)
     final = near
     of_class = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     keys = ["k1", "k2", "n_shingles"]
     out = sig.select("doc_id", *keys).join(of_class, keys, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = work.save(out.select("doc_id", "n_shingles", component.alias("component_id")), "result")
+    work.keep_only(out)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 SQL = r"""
