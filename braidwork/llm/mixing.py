@@ -11,7 +11,8 @@ Rounding runs as a reduction tree.  Leaves are hash buckets of one source with
 a bounded number of documents, so a source with a third of all rows is many
 leaves; each leaf settles all its documents but one, and the survivors of many
 leaves meet one level up, until one is left and is rounded by itself.  Draws
-and buckets are hashes of ``doc_id``: reruns agree whatever the partitioning.
+and buckets are hashes of ``doc_id``, text and a number among equal rows: reruns
+agree whatever the partitioning, and rows with a null or repeated id spread.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ._work import Workspace
 
 WORDS = r"[^\x20\x09-\x0D]+"
-_ROW = "doc_id long, source string, source_size long, target double, size long, copies long, mass double, draw long, leaf long, leaves long"
+_ROW = "doc_id long, text_hash long, source string, source_size long, target double, size long, copies long, mass double, draw long, leaf long, leaves long"
 _EPS = 1e-12
 
 
@@ -83,7 +84,7 @@ def _settle(size: list[int], mass: list[float], draw: list[float]) -> tuple[list
 
 
 def _leaf(table: pa.Table) -> pa.Table:
-    order = table.sort_by([("size", "descending"), ("draw", "ascending"), ("doc_id", "ascending")])
+    order = table.sort_by([("size", "descending"), ("draw", "ascending"), ("doc_id", "ascending"), ("text_hash", "ascending")])
     draw = (np.asarray(order["draw"]).view(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
     mass = order["mass"].to_pylist()
     bits, held = _settle(order["size"].to_pylist(), mass, draw.tolist())
@@ -95,29 +96,40 @@ def _leaf(table: pa.Table) -> pa.Table:
     return out.set_column(order.schema.get_field_index("mass"), "mass", pa.array(left))
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, leaf_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, leaf_rows: int = 4096, most_sources: int = 1_000_000) -> DataFrame:
     """How often each document enters the mix.
 
     Takes any frame with ``doc_id``, ``text`` and ``source``; other columns are
-    ignored.  Returns ``doc_id, source, size, source_size, target, copies,
-    taken``, one row for each input row; ``taken = copies * size``.  A null
-    text has size 0 and takes nothing; null sources are one source, the last.
-    Repeated rows are rounded each by itself.  An empty table gives an empty
-    result.  Only one number for each source reaches the driver.
+    ignored.  Returns ``doc_id, text_hash, source, size, source_size, target,
+    copies, taken``, one row for each input row; ``text_hash`` is Spark's
+    ``xxhash64`` of the text and ``taken = copies * size``.  A null text has
+    size 0 and takes nothing; null sources are one source, the last.  Repeated
+    rows are rounded each by itself.  An empty table gives an empty result.
+    One number for each source reaches the driver, as the shares of all sources
+    depend on each other; more than ``most_sources`` are an error.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = work.save(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")), "sizes")
-    found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+    keys = ["doc_id", "text_hash", "source", "size"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), F.col("source").cast("string"), size.alias("size"))
+    rows = work.save(rows.groupBy(*keys).agg(F.count("*").alias("rows")), "sizes")
+    found = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.sum("rows").alias("n")).limit(most_sources + 1).collect()
+    if len(found) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     aim = targets({r["source"]: r["words"] for r in found}, weights, cap)
     plan = [(r["source"], r["words"], aim[r["source"]], math.ceil(r["n"] / leaf_rows)) for r in found]
     table = spark.createDataFrame(plan, "source string, source_size long, target double, leaves long")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = rows.alias("r").join(table.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("doc_id", "r.source", "source_size", "target", "size", rate.alias("rate"), "leaves")
+    block = F.lit(4096)  # equal rows are numbered in two steps, so no list grows with their number
+    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / block))))
+    each = each.withColumn("row", F.explode(F.sequence(F.col("block") * block, F.least((F.col("block") + 1) * block, F.col("rows")) - 1)))
+    joined = each.alias("r").join(table.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("doc_id", "text_hash", "row", "r.source", "source_size", "target", "size", rate.alias("rate"), "leaves")
+    ident = ["doc_id", "text_hash", "row"]
     level = joined.select(
-        "doc_id", "source", "source_size", "target", "size", F.floor("rate").alias("copies"), (F.col("rate") - F.floor("rate")).alias("mass"),
-        F.xxhash64(F.lit("draw"), "doc_id").alias("draw"), F.pmod(F.xxhash64(F.lit("leaf"), "doc_id"), "leaves").alias("leaf"), "leaves",
+        "doc_id", "text_hash", "source", "source_size", "target", "size", F.floor("rate").alias("copies"), (F.col("rate") - F.floor("rate")).alias("mass"),
+        F.xxhash64(F.lit("draw"), *ident).alias("draw"), F.pmod(F.xxhash64(F.lit("leaf"), *ident), "leaves").alias("leaf"), "leaves",
     )
     done, most = [], max((p[3] for p in plan), default=1)
     while True:
@@ -131,4 +143,6 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), cap: float = 3
     whole = out.withColumn("copies", F.col("copies") + F.when(lone & (F.col("mass") > 0), 1).otherwise(0))
     for x in done:
         whole = whole.unionByName(x)
-    return whole.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = work.save(whole.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")), "result")
+    work.keep_only(out)
+    return out
