@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -100,3 +101,9 @@ class Workspace:
             gc.collect()
             self.spark._jvm.System.gc()
             time.sleep(0.3)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, most: int = 1 << 20) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone``: a broadcast of up to ``most`` keys, else a join that shuffles."""
+    small = gone.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(gone) if small else gone.hint("merge"), key, "left_anti")

@@ -169,6 +169,13 @@ def test_vectors(spark, settings):
     assert embed_dedup.near_vectors(frame.where("false")).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (1, [1.0, 0.02, 0.0], 0), (3, [0.0, 0.0, 1.0], 0), (3, [0.0, 0.0, 2.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_vectors(frame).collect())
+    assert found == {(1, 2, 1, True): 2, (1, 0, 1, True): 1, (2, 2, 1, False): 1, (3, 1, 3, True): 2}
+
+
 # -- 3 ---------------------------------------------------------------------------------
 
 
@@ -514,6 +521,18 @@ def test_mix(docs, leaf_rows):
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_mix_of_rows_without_an_id(spark):
+    rows = [(None if k % 3 else 4, f"w{k % 50} " * (2 + k % 5), "ab"[k % 2]) for k in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mix(frame, leaf_rows=16).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in out) == Counter((d, s, len(t.split())) for d, t, s in rows)
+    for name in "ab":
+        own = [r for r in out if r["source"] == name]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    again = mixing.mix(frame.repartition(2), leaf_rows=16).collect()
+    assert Counter(map(tuple, out)) == Counter(map(tuple, again))
+
+
 def test_mix_edges(spark, odd):
     assert mixing.mix(empty(spark)).count() == 0
     rows = mixing.mix(odd).collect()

@@ -2,10 +2,10 @@
 
 from collections import Counter
 
-import corpus_pipeline
 from pyspark.sql import functions as F
 
 from braidwork.llm import mixing
+from braidwork.llm import pipeline as corpus_pipeline
 from braidwork.llm import queries as llm
 
 
@@ -56,6 +56,34 @@ def test_mixture_takes_each_row_as_drawn(spark):
     assert out.columns == [*docs.columns, "copy"] and taken == +drawn and sum(taken.values()) > 20
 
 
+def test_stages_with_clashing_columns(spark, tmp_path):
+    rows = [(k, f"w{k} x{k} y{k} z{k} v{k} u{k}\nsame words here", "en", "s") for k in range(8)] + [(None, "a b c d e", "en", "s"), (None, "a b c d e", "en", "s"), (7, "q r s t", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.withColumns({c: F.lit(c) for c in ("copy", "removed", "n_lines", "kept", "size", "component_id", "h", "doc", "line", "k1", "uid", "item_id", "copies")})
+    spark.createDataFrame([(1, "v1 v2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, str(tmp_path))
+        held = out.collect()
+        if name != "mixing":
+            assert out.columns == docs.columns and {r["removed"] for r in held} == {"removed"}
+        if name == "line dedup":  # a text of one id and its copy are one document
+            assert len(held) == len(rows) and sum("same words" in r["text"] for r in held) == 1
+    assert sorted(out.columns) == sorted(docs.columns) and min(r["copy"] for r in held) == 1
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    import glob
+
+    rows = [(k, f"w{k} x{k} y{k} z{k} v{k} u{k}\nsame words here", "en", "s", 10) for k in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "v1 v2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{root}/pipeline-*/*"))
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert [x.rsplit("-", 1)[-1] for x in set(glob.glob(f"{root}/pipeline-*/*")) - before] == ["mixing"]
+
+
 def test_registry():
     names = list(llm.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
