@@ -1,77 +1,5 @@
-"""Cleaning pipeline over ``documents``: each stage works on what the one before kept.
+"""Cleaning pipeline over ``documents``; its stages are in the subpackage."""
 
-``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)``
-and returns a frame.  All stages but the last return the columns of
-``documents``.  ``run`` writes each stage's result to the cluster's shared
-folder and reads it back, so a lost executor costs one stage at most.
-"""
+from braidwork.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from braidwork.llm import decontam, lang_id, line_dedup, minhash, mixing
-from braidwork.llm._work import Workspace
-from braidwork.llm.queries import _read
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language (null, or without a letter); the label ``lang`` is only learnt from."""
-    model = lang_id.fit(docs.where(~lang_id.held_out(F.col("doc_id"))))
-    return lang_id.keep_identified(docs, *model)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines; drops texts of which no line with words is left."""
-    out = line_dedup.dedup_lines(docs)
-    emptied = (F.size("removed") > 0) & ~F.col("text").rlike(mixing.WORDS)
-    out = out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest ``doc_id`` of each component; null ids stay."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-
-
-def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that leak a benchmark item."""
-    return decontam.drop_leaking(docs, _read(spark, sf_dir, "benchmark"))
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy of a document in the mix, numbered from 1.
-
-    Each row appears as often as it was drawn.  Rows that share ``doc_id``,
-    source and number of words have their draws dealt out in the order of their
-    texts' hashes.
-    """
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(mixing.WORDS)), F.lit(0)).cast("long")
-    key = lambda n: F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("size"))
-    plan = mixing.mix(docs).groupBy(key(F.col("size")).alias("__key")).agg(F.sort_array(F.collect_list(F.col("copies").cast("int")), asc=False).alias("__drawn"))
-    rows = docs.withColumn("__key", key(size)).join(plan.hint("merge"), "__key")
-    rows = rows.withColumn("__copies", F.element_at("__drawn", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))))
-    return rows.where("__copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
-
-
-STAGES = [
-    ("language ID", language),
-    ("line dedup", lines),
-    ("MinHash near-dedup", near_duplicates),
-    ("benchmark decontamination", leaks),
-    ("mixing", mixture),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the rows of the mix."""
-    work = Workspace(spark, "pipeline")
-    docs = _read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = work.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
-
-
-#: No SQL: language inference, hashing and dependent rounding are checked against brute force in tests/llm.
-ORACLE_SQL = None
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
