@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._counts import KIND, pack, total
+from ._work import bounded_batches
 
 FEATURES = 1 << 16
 ORDER = 4
@@ -72,6 +73,7 @@ def fit(rows: DataFrame, *, features: int = FEATURES, prior: float = 5000.0) ->
 
     ``rows`` has ``lang`` and ``text``; rows with a null in either teach nothing.
     """
+    bounded_batches(rows.sparkSession)
     found = train_counts(rows.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string")), features)
     langs = sorted(found)
     counts = np.stack([found[x] for x in langs], axis=1).astype(float) if langs else np.zeros((features, 1))
@@ -131,6 +133,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, common: int =
     1 / languages.  Only the text is read; other columns are ignored.  An empty
     table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     features = table.shape[0]
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -159,6 +162,7 @@ def keep_identified(docs: DataFrame, langs: list[str], table: np.ndarray, common
     Rejected are null texts, texts without a letter, and texts of which no
     language makes up ``min_share``.
     """
+    bounded_batches(docs.sparkSession)
     features, at = table.shape[0], docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(table)
 

@@ -51,7 +51,7 @@ _PAIR = "doc long, line int, k1 long, doc2 long, line2 int, k12 long, ratio int,
 #: The fields of an entry of a list, packed one after the other.
 _ENTRY = {"word": np.uint32, "doc": np.int64, "line": np.int32, "k1": np.int64, "n": np.int32, "at": np.int32, "open": np.uint8, **{b: np.int64 for b in _BITS}}
 #: Comparisons that are held at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _FILTER_BITS = 26
 
 
@@ -465,7 +465,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, place, percent: int, work: Works
     return gone
 
 
-def repeated_lines(docs: DataFrame, work: Workspace, *, percent: int = 75, buckets: int = 1 << 20, often: int = 1024, long: int = 4096, few: int = 8, part_entries: int = 1 << 19) -> DataFrame:
+def repeated_lines(docs: DataFrame, work: Workspace, *, percent: int = 75, buckets: int = 1 << 20, often: int = 1024, long: int = 4096, few: int = 8, part_entries: int = 1 << 18) -> DataFrame:
     """``doc, h, line`` of each line that is similar to an earlier one; ``docs`` has ``doc``, ``h`` (a hash of the text) and ``text``.
 
     Each line has its best candidate verified first, or its ``few`` best ones
