@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,7 +157,7 @@ def _prefixes(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarr
     return row, at, flat[start[row] + at], start, flat
 
 
-def frequent_words(classes: DataFrame, percent: int, often: int, buckets: int, most: int = 1 << 20) -> tuple[int, np.ndarray]:
+def frequent_words(classes: DataFrame, work: Workspace, percent: int, often: int, buckets: int, most: int = 1 << 20) -> tuple[int, np.ndarray]:
     """Number of prefix entries, and the words that more than ``often`` prefixes hold, sorted.
 
     Exact: only words in buckets with so many entries are counted one by one.
@@ -184,7 +185,7 @@ def frequent_words(classes: DataFrame, percent: int, often: int, buckets: int, m
     if not (seen > often).any():
         return int(seen.sum()), np.zeros(0, np.uint32)
     counts = classes.select("n", "prefix").mapInArrow(single, "word int, m long").groupBy("word").agg(F.sum("m").alias("m"))
-    counts = counts.where(F.col("m") > often)
+    counts = work.save(counts.where(F.col("m") > often), "frequent")
     sizes = {r["e"]: r["c"] for r in counts.groupBy(F.floor(F.log2("m")).cast("int").alias("e")).agg(F.count("*").alias("c")).collect()}
     least = 0
     while sum(c for e, c in sizes.items() if e >= least) > most:
@@ -212,12 +213,13 @@ def _keys(batch: pa.RecordBatch, percent: int, frequent: np.ndarray) -> tuple[np
     return np.r_[row[~many], r[which]], np.r_[at[~many], second - 1], np.r_[word[~many], both]
 
 
-def _spread(classes: DataFrame, percent: int, parts: int, frequent, wanted=None) -> DataFrame:
-    """Entries packed by the partition of their list; with ``wanted``, of the lists and sizes in this filter only."""
+def _spread(classes: DataFrame, percent: int, parts: int, frequent, wanted=None, held=None) -> DataFrame:
+    """Entries packed by the partition of their list; with ``wanted``, of the lists and sizes in this filter only; ``held`` has the keys of open lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
         for batch in batches:
+            batch = _marked(batch, held)
             row, at, word = _keys(batch, percent, frequent.value)
             if wanted is not None:
                 n = batch.column(batch.schema.get_field_index("n")).to_numpy().astype(np.int64)
@@ -233,7 +235,16 @@ def _spread(classes: DataFrame, percent: int, parts: int, frequent, wanted=None)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.diff(bounds)[some], pa.int32()), pa.array(packed, pa.binary())], names=["part", "m", "z"])
 
     fixed = ["doc", "line", "k1", "n", "prefix", *_BITS]
-    return classes.select(*fixed, F.col("open").cast("byte").alias("open")).mapInArrow(run, "part int, m int, z binary")
+    return classes.select(*fixed, *(c for c in ["open"] if c in classes.columns)).mapInArrow(run, "part int, m int, z binary")
+
+
+def _marked(batch: pa.RecordBatch, held) -> pa.RecordBatch:
+    """The batch with a column ``open``: its own, or whether the line's key is in ``held``."""
+    if "open" in batch.schema.names:
+        return batch
+    keys = batch.column(batch.schema.get_field_index("k1")).to_numpy()
+    some = _among(keys, held.value) if held is not None else np.zeros(len(keys), bool)
+    return batch.append_column("open", pa.array(some.astype(np.int32)))
 
 
 def _size_class(n: np.ndarray) -> np.ndarray:
@@ -256,6 +267,19 @@ def _entries(table: pa.Table) -> dict[str, np.ndarray]:
     return {f: np.concatenate(x) for f, x in parts.items()}
 
 
+def _line_order(doc: np.ndarray, line: np.ndarray, k1: np.ndarray) -> np.ndarray:
+    """Entries in order of their lines; far faster than ``lexsort`` where ids are not shared."""
+    by = np.argsort(doc)
+    rank = np.empty(len(doc), np.uint64)
+    rank[by] = np.cumsum(np.r_[False, doc[by][1:] != doc[by][:-1]])
+    place = (rank << np.uint64(32)) | line.astype(np.uint64)
+    by = np.argsort(place)
+    same = place[by][1:] == place[by][:-1]
+    if (k1[by][1:][same] != k1[by][:-1][same]).any():
+        by = np.lexsort((k1, place))
+    return by
+
+
 def _blocks(low: np.ndarray, high: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each ``x`` with the places from its ``low`` to its ``high``, in blocks of bounded size."""
     count = np.maximum(high - low, 0)
@@ -272,13 +296,13 @@ def _blocks(low: np.ndarray, high: np.ndarray, x: np.ndarray) -> Iterator[tuple[
 def _candidates(table: pa.Table, percent: int, long: int, few: int, again: bool) -> pa.Table:
     """For each later line its best earlier candidates and whether it has more; if ``again``, all candidates of open lines."""
     f = _entries(table)
-    order = np.lexsort((f["n"], f["word"]))
+    order = np.argsort((f["word"].astype(np.uint64) << np.uint64(32)) | f["n"].astype(np.uint64))
     f = {k: v[order] for k, v in f.items()}
-    n, at = f["n"].astype(np.int64), f["at"].astype(np.int64)
+    n, left = f["n"], f["n"] - f["at"]  # words of the set, and those from the common one on
     maps = [f[b].view(np.uint64) for b in _BITS]
     folded = maps[0] ^ maps[1]
     # ``who`` numbers the lines of this partition in their order
-    by = np.lexsort((f["k1"], f["line"], f["doc"]))
+    by = _line_order(*(f[c] for c in _KEY))
     fresh = np.r_[True, np.any([f[c][by][1:] != f[c][by][:-1] for c in _KEY], axis=0)]
     who = np.empty(len(by), np.int64)
     who[by] = np.cumsum(fresh) - 1
@@ -288,6 +312,7 @@ def _candidates(table: pa.Table, percent: int, long: int, few: int, again: bool)
     of = np.repeat(np.arange(len(starts)), size)
     width = int(n.max()) + 2
     sorted_key = of * width + n  # rises
+    n64 = n.astype(np.int64)
     best, many = np.zeros(0, np.uint64), np.zeros(len(line), bool)
     wide = np.uint64(26)
     if len(line) >> 26:
@@ -295,13 +320,16 @@ def _candidates(table: pa.Table, percent: int, long: int, few: int, again: bool)
 
     def able(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs that may be similar, and their distance by the bitmaps in thousandths of the limit."""
-        some = ((100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y])) & (who[x] != who[y])
-        x, y = x[some], y[some]
+        both = n[x] + n[y]
+        some = np.flatnonzero((100 + percent) * np.minimum(left[x], left[y]).astype(np.int64) >= percent * both.astype(np.int64))
+        x, y, both = x[some], y[some], both[some].astype(np.int64)
+        some = who[x] != who[y]
+        x, y, both = x[some], y[some], both[some]
         apart = np.bitwise_count(folded[x] ^ folded[y]).astype(np.int64)
         wide = np.minimum(n[x], n[y]) > _SHORT
         a, b = x[wide], y[wide]
         apart[wide] = sum(np.bitwise_count(m[a] ^ m[b]).astype(np.int64) for m in maps)
-        limit = (100 - percent) * (n[x] + n[y])
+        limit = (100 - percent) * both
         some = (100 + percent) * apart <= limit
         return x[some], y[some], 1000 * (100 + percent) * apart[some] // np.maximum(limit[some], 1)
 
@@ -321,7 +349,7 @@ def _candidates(table: pa.Table, percent: int, long: int, few: int, again: bool)
         whole = rest
         while len(rest):
             head, rest = rest[0], rest[1:]
-            fit = 100 * np.minimum(n[rest], n[head]) >= percent * np.maximum(n[rest], n[head])
+            fit = 100 * np.minimum(n64[rest], n64[head]) >= percent * np.maximum(n64[rest], n64[head])
             a, b, ratio = able(rest[fit], np.full(int(fit.sum()), head))
             keep(a, b, ratio)
             many[who[a]] = True
@@ -329,14 +357,14 @@ def _candidates(table: pa.Table, percent: int, long: int, few: int, again: bool)
             rest = rest[~np.isin(who[rest], who[a]) & (who[rest] != who[head])]
         for head in heads:
             x = whole[who[whole] < who[head]]
-            x = x[100 * np.minimum(n[x], n[head]) >= percent * np.maximum(n[x], n[head])]
+            x = x[100 * np.minimum(n64[x], n64[head]) >= percent * np.maximum(n64[x], n64[head])]
             keep(*able(x, np.full(len(x), head)))
 
     if again:
         found = [np.zeros(0, np.int64)]
         x = np.flatnonzero(f["open"] > 0)
-        low = np.searchsorted(sorted_key, of[x] * width + _needed(n[x], percent))
-        high = np.searchsorted(sorted_key, of[x] * width + np.minimum(100 * n[x] // percent, width - 1), side="right")
+        low = np.searchsorted(sorted_key, of[x] * width + _needed(n64[x], percent))
+        high = np.searchsorted(sorted_key, of[x] * width + np.minimum(100 * n64[x] // percent, width - 1), side="right")
         for a, b in _blocks(low, high, x):
             a, b, _ = able(a, b)
             a, b = who[a], who[b]
@@ -349,8 +377,8 @@ def _candidates(table: pa.Table, percent: int, long: int, few: int, again: bool)
             leaders(np.arange(starts[k], starts[k] + size[k]))
         # In order of size, each line is compared with the longer ones up to its limit; as the shorter
         # line it can only match by a word in its first places.
-        x = np.flatnonzero((size[of] > 1) & (size[of] <= long) & ((100 + percent) * (n - at) >= 2 * percent * n))
-        high = np.searchsorted(sorted_key, of[x] * width + np.minimum(100 * n[x] // percent, width - 1), side="right")
+        x = np.flatnonzero((size[of] > 1) & (size[of] <= long) & ((100 + percent) * left.astype(np.int64) >= 2 * percent * n64))
+        high = np.searchsorted(sorted_key, of[x] * width + np.minimum(100 * n64[x] // percent, width - 1), side="right")
         for a, b in _blocks(x + 1, high, x):
             keep(*able(a, b))
         later, ratio, earlier = (best >> np.uint64(36)).astype(np.int64), ((best >> wide) & np.uint64(1023)).astype(np.int32), (best & np.uint64((1 << 26) - 1)).astype(np.int64)
@@ -479,9 +507,9 @@ def repeated_lines(docs: DataFrame, work: Workspace, *, percent: int = 75, bucke
     lines = work.save(_lines(docs, place, percent), "lines")
     first = [F.min(F.struct("doc", "line", "h")).alias("first"), (F.count("*") > 1).alias("many"), *(F.first(c).alias(c) for c in ("n", "prefix", *_BITS))]
     classes = work.save(lines.groupBy("k1", "k2").agg(*first).select("k1", "k2", "first.*", "many", "n", "prefix", *_BITS), "classes")
-    entries, words = frequent_words(classes, percent, often, buckets)
+    entries, words = frequent_words(classes, work, percent, often, buckets)
     parts, frequent = max(math.ceil(entries / part_entries), 1), context.broadcast(words)
-    lists = _spread(classes.withColumn("open", F.lit(0)), percent, parts, frequent)
+    lists = _spread(classes, percent, parts, frequent)
     found = work.save(lists.groupBy("part").applyInArrow(lambda t: _candidates(t, percent, long, few, False), _PAIR), "candidates")
     tried = F.sort_array(F.collect_set(F.struct("ratio", *(f"{c}2" for c in _KEY)))).alias("tried")  # at most ``few`` from each of the line's lists
     pairs = found.groupBy(*_KEY).agg(tried, F.max("more").alias("more")).withColumn("few", F.when(F.expr(f"tried[0].ratio <= {_SURE}"), 1).otherwise(few))
@@ -509,30 +537,24 @@ def _again(classes: DataFrame, open_: DataFrame, percent: int, parts: int, frequ
     """
     context = classes.sparkSession.sparkContext
     keys = open_.select("k1").limit(most + 1).toArrow()["k1"].to_numpy()  # the limit is the check of the size
-    if len(keys) <= most:
-        held = context.broadcast(np.sort(keys))
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                some = _among(batch.column(batch.schema.get_field_index("k1")).to_numpy(), held.value)
-                yield batch.append_column("open", pa.array(some.astype(np.int32)))
-
-        fields = T.StructType([*classes.schema.fields, T.StructField("open", T.IntegerType())])
-        marked = classes.mapInArrow(mark, fields)
-    else:
-        marked = classes.join(open_.withColumn("open", F.lit(1)), _KEY, "left").withColumn("open", F.coalesce("open", F.lit(0)))
+    held = context.broadcast(np.sort(keys)) if len(keys) <= most else None
+    if held is None:
+        classes = classes.join(open_.withColumn("open", F.lit(1)), _KEY, "left").withColumn("open", F.coalesce("open", F.lit(0)))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(0).to_numpy().astype(np.int64)
+            batch = _marked(batch, held)
+            batch = batch.filter(pc.equal(batch.column(batch.schema.get_field_index("open")), 1))
+            n = batch.column(batch.schema.get_field_index("n")).to_numpy().astype(np.int64)
             row, _, word = _keys(batch, percent, frequent.value)
             low, high = _size_class(_needed(n, percent))[row], _size_class(100 * n // percent)[row]
             which = np.repeat(np.arange(len(row)), high - low + 1)
             size = low[which] + np.arange(len(which)) - np.searchsorted(which, which)
             yield _marks(_list_place(word[which], size))
 
-    wanted = context.broadcast(_filter(marked.where("open = 1").select("n", "prefix").mapInArrow(lists, "chunk int, bit int")))
-    dealt = _spread(marked, percent, parts, frequent, wanted).groupBy("part")
+    marks = classes.select("k1", "n", "prefix", *(c for c in ["open"] if c in classes.columns)).mapInArrow(lists, "chunk int, bit int")
+    wanted = context.broadcast(_filter(marks))
+    dealt = _spread(classes, percent, parts, frequent, wanted, held).groupBy("part")
     return dealt.applyInArrow(lambda t: _candidates(t, percent, 0, 0, True), _PAIR).select(*_KEY, *(f"{c}2" for c in _KEY)).distinct()
 
 
