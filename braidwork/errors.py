@@ -33,6 +33,10 @@ class DuplicateKeyError(ValueError):
     """Rows to merge repeat a merge key."""
 
 
+class ConcurrentWriteError(RuntimeError):
+    """Another writer has claimed the version that a merge was to write."""
+
+
 class MissingColumnsError(Exception):
     """Columns that were asked for are not in a frame; says which, and what was probably meant."""
 

@@ -23,6 +23,7 @@ from ..plans.node import Edge, Node, PreprocessMode, default_preprocess
 from ..plans.plan import Plan, RunStatus, Vertex
 from .cache import CacheMode
 from .frames import FrameKind, clone, conform, convert, frame_kind, select
+from .merge import ParquetCache
 
 log = logging.getLogger("braidwork")
 Unit = tuple[str, str]  # node, owner
@@ -44,7 +45,7 @@ class Result:
         """Some columns in another kind, selected first: what is not asked for is not moved."""
         if kind in self.frames:
             return select(clone(self.frames[kind]), columns)
-        return convert(select(self.first, columns), kind, self.spark, None)
+        return convert(select(self.first, columns), kind, self.spark, self.schema)
 
 
 class Run:
@@ -176,6 +177,8 @@ class Run:
         if v.cache is not None and not v.cache.disabled:
             upstream = [self.plan.node(k) for k in self.plan.cached_predecessors(key)]
             v.cache.write(self.results[unit].first, upstream, v.node, started)
+            if isinstance(v.cache.cache, ParquetCache):  # what was written is not worked out again
+                self.results[unit] = Result(conform(v.cache.read(), v.node.output_schema), self.spark, v.node.output_schema)
 
     def _call(self, v: Vertex, arguments: dict[str, Any]) -> Any:
         n = v.node

@@ -36,11 +36,15 @@ def frame_kind(frame: Any) -> FrameKind:
 
 
 def from_pandas(frame: pd.DataFrame, spark: SparkSession, schema: Schema | None = None) -> DataFrame:
-    """A Spark frame; an empty one takes the declared types, or strings without a schema."""
+    """A Spark frame with the declared types of its columns; an empty one without a schema has strings."""
+    declared = {c.name: c.type for c in schema.columns} if schema is not None and schema.typed() else {}
     if not frame.empty:
-        return spark.createDataFrame(frame)
-    if schema is not None and schema.typed() and set(schema.get_column_names()) == set(frame.columns):
-        return spark.createDataFrame([], schema.struct())
+        out = spark.createDataFrame(frame)
+        quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
+        return out.select(*(conform_column(quoted(f.name), f.dataType, declared[f.name]).alias(f.name) if f.name in declared else quoted(f.name) for f in out.schema.fields)) if declared else out
+    if set(frame.columns) <= set(declared):
+        types = {f.name: f for f in schema.struct().fields}
+        return spark.createDataFrame([], T.StructType([types[c] for c in frame.columns]))
     log.warning("an empty pandas frame has no types: its columns become strings")
     return spark.createDataFrame([], T.StructType([T.StructField(str(c), T.StringType()) for c in frame.columns]))
 

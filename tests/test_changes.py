@@ -234,3 +234,71 @@ def test_dbml(tmp_path):
     assert "Table a" in only and "Table b" not in only and "Ref" not in only
     with pytest.raises(RuntimeError):
         build_erd_svg(b, f"{tmp_path}/x.svg")
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from threading import Thread
+
+    at = f"file://{tmp_path}/both"
+    caches = [MergeCache(at, ["k"], f"file://{tmp_path}/ledger") for _ in range(3)]
+    caches[0].write(spark, spark.createDataFrame([(0, 0)], "k long, v long"))
+    threads = [Thread(target=c.write, args=(spark, spark.createDataFrame([(k + 1, k)], "k long, v long"))) for k, c in enumerate(caches)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(r["k"] for r in caches[0].table(spark).collect()) == [0, 1, 2, 3]
+    assert caches[0].versions(spark) == [1, 2, 3, 4]
+    caches[0].vacuum(spark, 1)
+    assert caches[0].versions(spark) == [4]
+    caches[0].vacuum(spark, 0)
+    assert not caches[0].exists(spark)
+
+
+def test_reader_between_stamp_and_commit_sees_the_rows_later(spark, tmp_path):
+    from types import SimpleNamespace
+
+    source, target = SimpleNamespace(key="a"), SimpleNamespace(key="b")
+    ledger = Ledger(f"file://{tmp_path}/ledger")
+    first, last = (MergeCache(f"file://{tmp_path}/{x}", ["k"], ledger) for x in ("first", "last"))
+    first.write(spark, spark.createDataFrame([(1, 1)], "k long, v long"))
+    stamped = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    taken = first.read(spark, source, target).select("k", "v")
+    started = stamped + datetime.timedelta(hours=1)  # the reader starts after the stamp, before the commit
+    last.write(spark, taken, [source], target, started)
+    late = spark.createDataFrame([(2, 2)], "k long, v long").withColumn("cdc_datetime_updated", F.lit(stamped).cast("timestamp_ntz"))
+    first.write(spark, late)
+    assert [r["k"] for r in first.read(spark, source, target).collect()] == [2]
+    ledger.compact(spark)
+    assert [r["k"] for r in first.read(spark, source, target).collect()] == [2] and ledger.read(spark).count() == 1
+
+
+def test_types_behind_a_pandas_node(spark):
+    import pandas as pd
+
+    from braidwork import Column, Integer, Schema, String, node
+
+    @node(type="pandas", output=Schema(Column("a", Integer()), Column("b", String()), Column("c", String())))
+    def made():
+        return pd.DataFrame({"a": [1, None], "b": [None, None], "c": ["x", None]})
+
+    @node(type="pyspark", dependencies=[made])
+    def whole(made):
+        return made
+
+    @node(type="pyspark", dependencies=[made.select("a", "b")])
+    def some(made):
+        return made
+
+    assert [f.dataType.simpleString() for f in whole.run(spark).schema] == ["int", "string", "string"]
+    out = some.run(spark)
+    assert [f.dataType.simpleString() for f in out.schema] == ["int", "string"] and sorted(map(str, (r["a"] for r in out.collect()))) == ["1", "None"]
+
+
+def test_target_is_what_was_stored(spark, tmp_path):
+    @node(type="pyspark", cache=ParquetCache(f"file://{tmp_path}/drawn"))
+    def drawn():
+        return spark.range(20).withColumn("r", F.rand())
+
+    out = drawn.run(spark)
+    assert sorted(out.collect()) == sorted(spark.read.parquet(f"file://{tmp_path}/drawn").collect())
