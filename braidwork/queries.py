@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import (
-    CacheMode, Column, Date, DateTime, Decimal, Double, Integer, Ledger, Long, MergeCache, ParquetCache, PreprocessMode, Schema, String, config_context, node, node_function,
+    CacheMode, Column, Date, DateTime, Decimal, Double, Integer, Ledger, Long, MergeCache, ParquetCache, PreprocessMode, Schema, String, TableCache, config_context, node, node_function,
 )
 from .lineage.catalog import Catalog
 from .lineage.dbml import build_dbml
@@ -380,9 +381,10 @@ def join_semi(spark, sf_dir):
     return _through(spark, sf_dir, lambda c, o: c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), "customer", "orders")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def join_anti(spark, sf_dir):
-    return _through(spark, sf_dir, lambda c, o: c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "customer", "orders")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    return _through(spark, sf_dir, lambda c, o: c.join(o.where(urgent), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "customer", "orders")
 
 
 @query("SELECT n_nationkey, s_suppkey FROM nation FULL JOIN supplier ON n_nationkey = s_nationkey")
@@ -449,6 +451,168 @@ def scalar_json(spark, sf_dir):
     return _through(spark, sf_dir, lambda e: e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.upper("event_type").alias("kind")), "events")
 
 
+@query("SELECT n_nationkey, s_suppkey FROM nation RIGHT JOIN supplier ON n_nationkey = s_nationkey AND n_regionkey = 1")
+def join_right(spark, sf_dir):
+    on = (F.col("n_nationkey") == F.col("s_nationkey")) & (F.col("n_regionkey") == 1)
+    return _through(spark, sf_dir, lambda n, s: n.join(s, on, "right").select("n_nationkey", "s_suppkey"), "nation", "supplier")
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_acctbal BETWEEN c_acctbal - 25 AND c_acctbal + 25")
+def join_range(spark, sf_dir):
+    """Meets in bins as wide as the range, so that the join is by equality and neighbours are looked up."""
+    bin_of = lambda c: F.floor(F.col(c) / 25)
+    near = F.col("s_acctbal").between(F.col("c_acctbal") - 25, F.col("c_acctbal") + 25)
+
+    def body(c, s):
+        c = c.withColumn("bin", bin_of("c_acctbal"))
+        s = s.withColumn("bin", F.explode(F.sequence(bin_of("s_acctbal") - 1, bin_of("s_acctbal") + 1)))
+        return c.join(s, "bin").where(near).select("c_custkey", "s_suppkey")
+
+    return _through(spark, sf_dir, body, "customer", "supplier")
+
+
+@query("""SELECT p.event_id, c.ts AS click_ts FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+  ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""")
+def join_as_of(spark, sf_dir):
+    """Each purchase with its user's last click: one shuffle and a running value, no pairs."""
+    before = Window.partitionBy("user_id").orderBy("ts", "purchase").rowsBetween(Window.unboundedPreceding, 0)
+
+    def body(e):
+        e = e.where("event_type in ('purchase', 'click')").withColumn("purchase", F.col("event_type") == "purchase")
+        e = e.withColumn("click_ts", F.last(F.when(~F.col("purchase"), F.col("ts")), ignorenulls=True).over(before))
+        return e.where("purchase").select("event_id", "click_ts")
+
+    return _through(spark, sf_dir, body, "events")
+
+
+@query("SELECT l_returnflag, l_linestatus, COUNT(*) AS n, MAX(l_quantity) AS top FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def agg_cube(spark, sf_dir):
+    return _through(spark, sf_dir, lambda x: x.cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.max("l_quantity").alias("top")), "lineitem")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def agg_grouping_sets(spark, sf_dir):
+    @node(type="spark_sql", dependencies=[table(sf_dir, "orders").select("o_orderstatus", "o_orderpriority")])
+    def sets(orders):
+        return f"SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())"
+
+    return sets.run(spark)
+
+
+@query("""SELECT o_orderpriority, COUNT(*) FILTER (o_orderstatus = 'F') AS F, COUNT(*) FILTER (o_orderstatus = 'O') AS O, COUNT(*) FILTER (o_orderstatus = 'P') AS P
+  FROM orders GROUP BY o_orderpriority""")
+def agg_pivot(spark, sf_dir):
+    return _through(spark, sf_dir, lambda o: o.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0), "orders")
+
+
+@query("SELECT event_type, COUNT(DISTINCT user_id) AS users, TRUE AS near FROM events GROUP BY event_type")
+def agg_distinct(spark, sf_dir):
+    """Exact, and whether the sketch of Spark is within a tenth of it."""
+    near = F.abs(F.approx_count_distinct("user_id", 0.02) - F.countDistinct("user_id")) <= F.countDistinct("user_id") / 10
+    return _through(spark, sf_dir, lambda e: e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), near.alias("near")), "events")
+
+
+@query("""SELECT event_id, MAX(value) OVER w AS top, COUNT(*) OVER w AS n FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def window_frame(spark, sf_dir):
+    over = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
+    return _through(spark, sf_dir, lambda e: e.select("event_id", F.max("value").over(over).alias("top"), F.count("*").over(over).alias("n")), "events")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 50 OFFSET 20")
+def sort_offset(spark, sf_dir):
+    return _through(spark, sf_dir, lambda o: o.select("o_orderkey").orderBy(F.desc("o_orderkey")).offset(20).limit(50), "orders")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def set_distinct(spark, sf_dir):
+    return _through(spark, sf_dir, lambda e: e.select("user_id", "event_type").distinct(), "events")
+
+
+@query("""SELECT p_partkey, CAST(regexp_extract(p_brand, '#([0-9]+)', 1) AS INTEGER) AS brand, regexp_replace(p_name, '[aeiou]', '', 'g') AS bare,
+  CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS size, abs(p_size - 25) % 7 AS turn FROM part""")
+def scalar_text(spark, sf_dir):
+    size = F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "middle").otherwise("large")
+    return _through(spark, sf_dir, lambda p: p.select("p_partkey", F.regexp_extract("p_brand", "#([0-9]+)", 1).cast("int").alias("brand"), F.regexp_replace("p_name", "[aeiou]", "").alias("bare"), size.alias("size"), (F.abs(F.col("p_size") - 25) % 7).alias("turn")), "part")
+
+
+@query("""SELECT p_partkey, len(string_split(p_name, ' ')) AS n, array_to_string(list_sort(string_split(p_name, ' ')), '|') AS words, map([p_brand], [p_size])[p_brand] AS size FROM part""")
+def scalar_nested(spark, sf_dir):
+    words = F.split("p_name", " ")
+    return _through(spark, sf_dir, lambda p: p.select("p_partkey", F.size(words).cast("long").alias("n"), F.array_join(F.array_sort(words), "|").alias("words"), F.create_map("p_brand", "p_size")[F.col("p_brand")].alias("size")), "part")
+
+
+@query("SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS due, year(o_orderdate) AS y FROM orders")
+def scalar_interval(spark, sf_dir):
+    return _through(spark, sf_dir, lambda o: o.select("o_orderkey", F.expr("o_orderdate + INTERVAL 30 DAY").alias("due"), F.year("o_orderdate").cast("long").alias("y")), "orders")
+
+
+@query("SELECT p_partkey, CAST(p_size * 2 + 1 AS BIGINT) AS odd FROM part")
+def udf_vectorised(spark, sf_dir):
+    @F.pandas_udf("long")
+    def odd(size: pd.Series) -> pd.Series:
+        return size.astype("int64") * 2 + 1
+
+    return _through(spark, sf_dir, lambda p: p.select("p_partkey", odd("p_size").alias("odd")), "part")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, COUNT(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark, sf_dir):
+    """Event-time windows under a watermark, kept by a streaming query whose last state is read."""
+    at = scratch(spark, "windows")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{at}/in")
+    stream = file_stream(spark, f"{at}/in", "event_type string, ts timestamp", format="parquet")
+    hours = stream.withWatermark("ts", "40 days").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    keep = lambda batch, k: batch.select(F.col("w.start").alias("hour"), "event_type", "n").write.mode("overwrite").parquet(f"{at}/out")
+    hours.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) USING (n_regionkey)")
+def join_merge(spark, sf_dir):
+    """pandas joins on the columns that both sides have."""
+    regions = frame("regions", spark.read.parquet(f"{sf_dir}/region.parquet").withColumnRenamed("r_regionkey", "n_regionkey"))
+
+    @node(type="pandas", dependencies=[table(sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), regions.select("n_regionkey", "r_name")])
+    def merged(nation, regions):
+        return nation.merge(regions)
+
+    @node(type="pyspark", dependencies=[merged])
+    def result(merged):
+        return merged
+
+    return result.run(spark)
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_regionkey > 0 THEN n_regionkey END AS region, CAST(NULL AS VARCHAR) AS note FROM nation")
+def pandas_types(spark, sf_dir):
+    """Declared types hold behind a pandas node: an integer with nulls, a column of nulls."""
+
+    @node(type="pandas", dependencies=[table(sf_dir, "nation").select("n_nationkey", "n_regionkey")], output=Schema(Column("k", Integer()), Column("region", Integer()), Column("note", String())))
+    def typed(nation):
+        region = nation["n_regionkey"].where(nation["n_regionkey"] > 0)
+        return nation.assign(k=nation["n_nationkey"], region=region, note=None)[["k", "region", "note"]]
+
+    @node(type="pyspark", dependencies=[typed.select("k", "region", "note")])
+    def result(typed):
+        return typed
+
+    return result.run(spark)
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def cache_table(spark, sf_dir):
+    """A cache in the session's catalog; the second run reads it."""
+    name = "regions_" + scratch(spark, "t").rsplit("-", 1)[1]
+
+    @node(type="pyspark", dependencies=[table(sf_dir, "region")], cache=TableCache(name))
+    def regions(region):
+        return region
+
+    regions.run(spark)
+    return regions.run(spark)
+
+
 # -- caches and changes ----------------------------------------------------------------------
 
 
