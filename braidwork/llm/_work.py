@@ -9,10 +9,8 @@ of earlier passes, and no executor needs another one's local disk.
 from __future__ import annotations
 
 import contextlib
-import gc
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -93,15 +91,6 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
             self._live.remove(x)
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished jobs, which it does once their frames are collected."""
-        with contextlib.suppress(Exception):  # listeners hold a query until they have told of its end
-            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-        for _ in range(3):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.3)
-
 
 def without(rows: DataFrame, gone: DataFrame, key: str, most: int = 1 << 20) -> DataFrame:
     """``rows`` whose ``key`` is not in ``gone``: a broadcast of up to ``most`` keys, else a join that shuffles."""

@@ -285,11 +285,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, bucket_rows: int = 200
     plain = texts.select("uid", "id", "text")
     every = work.save(_anchor_rows(plain.where(F.octet_length("text") >= length), length), "anchors")
     again = work.save(every.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"), "again")
-    work.release()
     shared = work.save(every.join(again, "anchor", "left_semi"), "shared")
     work.drop(every, again)
-    del every, again
-    work.release()
     keys = ["anchor", "window"]
     one = F.min(F.struct("uid", "id", "pos", "lead", "tail")).alias("one")
     windows = work.save(shared.groupBy(*keys).agg(F.count("*").alias("n"), one).select(*keys, "n", "one.*"), "windows")
@@ -300,11 +297,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, bucket_rows: int = 200
     ranges = work.save(whole, "whole")
     work.drop(shared)
     work.drop(windows)
-    del open_, whole, groups, shared
-    work.release()
     sizes = wanted.agg(F.count("*").alias("n"), F.max("m").alias("m")).first()
     content = work.save(_contents(plain, wanted.select(*keys, "n", "uid", "id", "pos", "lead", "tail")), "contents")
-    work.release()
     large = wanted.where(F.col("m") > group_rows).select("anchor").distinct()
     buckets = max(sizes["n"] // bucket_rows, 1)
     small = content.join(large, "anchor", "left_anti") if (sizes["m"] or 0) > group_rows else content
@@ -313,9 +307,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, bucket_rows: int = 200
     if (sizes["m"] or 0) > group_rows:
         merged = merged.unionByName(_counted(content.join(large, "anchor", "left_semi").select(*content.columns), length))
     ranges = ranges.unionByName(work.save(merged, "merged"))
-    del merged, small
     work.drop(content, wanted)
-    work.release()
     lists = ranges.groupBy("uid", "id").agg(F.collect_set(F.struct("a", "b")).alias("r"))
     rows = tx.packed(texts, ["uid", "id", "doc_id"])
     return _cut(rows.join(lists, ["uid", "id"], "left").select("doc_id", "__size", "__z", "r"))
