@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Each benchmark item is the multiset of its five-word shingles, with a 64-bit
+Each benchmark item is the multiset of its five-word shingles, with a 256-bit
 SimHash in which every occurrence of a shingle votes.  In a document, windows
 of as many words as an item has get the same fingerprint from running sums of
-the votes.  Only windows that hold a shingle of some item of that size need
-one: the similarity of all others is 0.
+the votes; a document shorter than an item is one window.  Only windows that
+hold a shingle of some item of that size need a fingerprint: the similarity of
+all others is 0.
 
 Fingerprints are cut into ``blocks`` parts.  Two fingerprints within
 ``radius`` bits agree within ``radius // blocks`` bits in one part at least, so
@@ -13,14 +14,14 @@ verified exactly: the weighted Jaccard similarity of the two multisets of
 shingles (sum of smaller over sum of larger multiplicities) must reach
 ``percent``.
 
-The items of one pass are bounded by ``pass_bytes``; a larger benchmark takes
-several passes over the documents, so the broadcast never grows with it.
+The items of one pass are bounded by ``pass_bytes`` and held as flat arrays; a
+larger benchmark takes several passes over the documents, so the broadcast
+never grows with it.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,40 +32,37 @@ from pyspark.sql import functions as F
 
 from . import _text as tx
 
-_POP = np.array([bin(v).count("1") for v in range(1 << 16)], np.uint8)
-_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
-
-
-def popcount(x: np.ndarray) -> np.ndarray:
-    parts = x.view(np.uint16).reshape(*x.shape, 4)
-    return _POP[parts].sum(axis=-1, dtype=np.int32)
+#: Bits of a fingerprint, and windows that get theirs at once.
+BITS, CHUNK = 256, 2048
+_SEEDS = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(BITS // 64)]
 
 
 def votes(shingles: np.ndarray) -> np.ndarray:
-    """Plus or minus one for each bit of each shingle."""
-    return np.where(tx.mix(shingles)[:, None] & _BITS, 1, -1).astype(np.int32)
+    """The bits of each shingle's hash, one for a vote for and zero for a vote against."""
+    spread = np.stack([tx.mix(shingles ^ s) for s in _SEEDS], axis=1) if len(shingles) else np.zeros((0, len(_SEEDS)), np.uint64)
+    return np.unpackbits(spread.view(np.uint8), axis=1)
 
 
 def fingerprints(shingles: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of each run of ``size`` shingles."""
-    total = np.zeros((len(shingles) + 1, 64), np.int32)
-    np.cumsum(votes(shingles), axis=0, out=total[1:])
-    lead = total[size:] - total[:-size]
-    return ((lead > 0).astype(np.uint64) * _BITS).sum(axis=1, dtype=np.uint64)
+    """SimHash of each run of ``size`` shingles, as rows of 64-bit numbers."""
+    total = np.zeros((len(shingles) + 1, BITS), np.int32)
+    np.cumsum(votes(shingles), axis=0, dtype=np.int32, out=total[1:])
+    return np.packbits(2 * (total[size:] - total[:-size]) > size, axis=1).view(np.uint64)
 
 
 @dataclass
 class Items:
-    """The items of one pass, by their number of words."""
+    """The items of one pass: shingles and counts of item ``k`` lie between ``bounds[k]`` and ``bounds[k + 1]``."""
 
-    ids: np.ndarray
-    bags: list[tuple[np.ndarray, np.ndarray]]
-    prints: np.ndarray
+    ids: list[int | None]
     words: np.ndarray
-    by_words: dict[int, np.ndarray]
-    known: dict[int, np.ndarray] = field(default_factory=dict)
-    sizes: dict[int, list[list[int]]] = field(default_factory=dict)
-    filters: dict[int, np.ndarray] = field(default_factory=dict)
+    prints: np.ndarray
+    bounds: np.ndarray
+    shingles: np.ndarray
+    counts: np.ndarray
+    by_words: dict[int, np.ndarray] = field(default_factory=dict)
+    #: For each shingle width: the sorted shingles, where the item sizes of each begin, the sizes, and a filter on 20 bits.
+    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
 def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -78,95 +76,148 @@ def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     return tx.mix(total + np.uint64(0 if width == 5 else width))
 
 
-def build(ids: list[int], texts: list[str]) -> Items:
+def build(ids: list[int | None], texts: list[str]) -> Items:
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     hashes, _, owner = tx.words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    bounds = np.searchsorted(owner, np.arange(len(raw) + 1))
-    keep, bags, prints, by_words, known = [], [], [], defaultdict(list), defaultdict(list)
-    sizes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    for k in range(len(raw)):
-        own = hashes[bounds[k] : bounds[k + 1]]
-        if len(own):
-            shingles = _rolled(own, min(len(own), 5))
-            by_words[len(own)].append(len(keep))
-            known[min(len(own), 5)].append(shingles)
-            for x in shingles.tolist():
-                sizes[min(len(own), 5)][x].add(len(own))
-            keep.append(ids[k])
-            bags.append(np.unique(shingles, return_counts=True))
-            prints.append(fingerprints(shingles, len(shingles))[0])
-    words = np.zeros(len(keep), np.int64)
-    for n, v in by_words.items():
-        words[v] = n
-    out = Items(np.array(keep, np.int64), bags, np.array(prints, np.uint64), words, {n: np.array(v) for n, v in by_words.items()})
-    for width, parts in known.items():
-        out.known[width] = np.unique(np.concatenate(parts))
-        out.sizes[width] = [sorted(sizes[width][x]) for x in out.known[width].tolist()]
-        out.filters[width] = np.zeros(1 << 20, bool)
-        out.filters[width][out.known[width] >> np.uint64(44)] = True
+    borders = np.searchsorted(owner, np.arange(len(raw) + 1))
+    sizes = np.diff(borders)
+    kept = np.flatnonzero(sizes > 0)
+    bags, prints = [], np.zeros((len(kept), BITS // 64), np.uint64)
+    for row, k in enumerate(kept.tolist()):
+        shingles = _rolled(hashes[borders[k] : borders[k + 1]], min(int(sizes[k]), 5))
+        prints[row] = _whole(shingles)
+        bags.append(np.unique(shingles, return_counts=True))
+    none = np.zeros(0, np.uint64)
+    bounds = np.cumsum([0, *(len(b[0]) for b in bags)])
+    flat = np.concatenate([none, *(b[0] for b in bags)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(b[1] for b in bags)])
+    words = sizes[kept]
+    out = Items([ids[k] for k in kept.tolist()], words, prints, bounds, flat, counts)
+    out.by_words = {n: np.flatnonzero(words == n) for n in np.unique(words).tolist()}
+    each = np.repeat(words, np.diff(bounds))
+    for width in np.unique(np.minimum(words, 5)).tolist():
+        own = np.minimum(each, 5) == width
+        order = np.lexsort((each[own], flat[own]))
+        values, of = flat[own][order], each[own][order]
+        fresh = np.r_[True, (values[1:] != values[:-1]) | (of[1:] != of[:-1])][: len(values)]
+        values, of = values[fresh], of[fresh]
+        known, starts = np.unique(values, return_index=True)
+        quick = np.zeros(1 << 20, bool)
+        quick[known >> np.uint64(44)] = True
+        out.known[width] = known, np.append(starts, len(values)), of, quick
     return out
 
 
-def _similar(shingles: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+def _whole(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of all shingles together, in memory that does not grow with their number."""
+    total = np.zeros(BITS, np.int64)
+    for k in range(0, len(shingles), CHUNK):
+        total += votes(shingles[k : k + CHUNK]).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(shingles)).view(np.uint64)
+
+
+def _windows(rolled: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts of windows of ``size`` shingles, a bounded number at once, and their fingerprints."""
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        end = int(np.searchsorted(starts, low + CHUNK))
+        some = starts[at:end]
+        if size > CHUNK:
+            yield some, np.stack([_whole(rolled[s : s + size]) for s in some.tolist()])
+        else:
+            yield some, fingerprints(rolled[low : int(some[-1]) + size], size)[some - low]
+        at = end
+
+
+def candidates(prints: np.ndarray, items: np.ndarray, radius: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that agree within ``radius // blocks`` bits in one of the blocks.
+
+    Holds all pairs within ``radius`` bits: were each block more than
+    ``radius // blocks`` apart, the whole would be more than ``radius`` apart.
+    """
+    part = {8: np.uint8, 16: np.uint16, 32: np.uint32, 64: np.uint64}[BITS // blocks]
+    mine, theirs = np.ascontiguousarray(prints).view(part), np.ascontiguousarray(items).view(part)
+    found = np.zeros((len(mine), len(theirs)), bool)
+    for b in range(blocks):
+        buckets, which = np.unique(theirs[:, b], return_inverse=True)
+        asked, whose = np.unique(mine[:, b], return_inverse=True)
+        close = np.bitwise_count(asked[:, None] ^ buckets[None, :]) <= radius // blocks
+        found |= close[whose][:, which]
+    return np.nonzero(found)
+
+
+def _similar(shingles: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
     """Sums of the smaller and of the larger multiplicities."""
-    values, counts = np.unique(shingles, return_counts=True)
-    at = np.minimum(np.searchsorted(bag[0], values), len(bag[0]) - 1)
-    least = int(np.minimum(counts, bag[1][at])[bag[0][at] == values].sum())
-    return least, int(counts.sum() + bag[1].sum()) - least
+    own, times = np.unique(shingles, return_counts=True)
+    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+    least = int(np.minimum(times, counts[at])[values[at] == own].sum())
+    return least, int(times.sum() + counts.sum()) - least
 
 
-def _hits(hashes: np.ndarray, owner: np.ndarray, items: Items) -> dict[int, dict[int, list[int]]]:
+def _hits(hashes: np.ndarray, owner: np.ndarray, items: Items) -> dict[int, dict[int, np.ndarray]]:
     """For each text with a known shingle, and each size of an item that has it, the words where it begins."""
-    out: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for width, known in items.known.items():
+    texts, sizes, places = [], [], []
+    for width, (known, starts, of, quick) in items.known.items():
         rolled = _rolled(hashes, width)
-        maybe = np.flatnonzero(items.filters[width][rolled >> np.uint64(44)])
+        maybe = np.flatnonzero(quick[rolled >> np.uint64(44)])
         maybe = maybe[owner[maybe] == owner[maybe + width - 1]]
         at = np.minimum(np.searchsorted(known, rolled[maybe]), len(known) - 1)
         same = known[at] == rolled[maybe]
-        for k, x in zip(maybe[same].tolist(), at[same].tolist(), strict=True):
-            for words in items.sizes[width][x]:
-                out[int(owner[k])][words].append(k)
+        maybe, at = maybe[same], at[same]
+        many = starts[at + 1] - starts[at]
+        first = np.cumsum(many) - many
+        sizes.append(of[np.arange(many.sum()) + np.repeat(starts[at] - first, many)])
+        places.append(np.repeat(maybe, many))
+        texts.append(owner[places[-1]])
+    out: dict[int, dict[int, np.ndarray]] = {}
+    if texts:
+        text, size, place = (np.concatenate(x) for x in (texts, sizes, places))
+        order = np.lexsort((place, size, text))
+        text, size, place = text[order], size[order], place[order]
+        cuts = np.flatnonzero((text[1:] != text[:-1]) | (size[1:] != size[:-1])) + 1
+        for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(text)].tolist(), strict=True):
+            if b > a:
+                out.setdefault(int(text[a]), {})[int(size[a])] = place[a:b]
     return out
 
 
-def leaks(hashes: np.ndarray, hits: dict[int, list[int]], items: Items, *, percent: int, radius: int, blocks: int) -> list[tuple[int, float, int, int, int]]:
+def _starts(places: np.ndarray, size: int, last: int) -> np.ndarray:
+    """Starts, up to ``last``, of the windows of ``size`` shingles that hold one of ``places``, sorted."""
+    change = np.zeros(last + 2, np.int32)
+    near = places[places - size < last]
+    np.add.at(change, np.maximum(near - size + 1, 0), 1)
+    np.add.at(change, np.minimum(near, last) + 1, -1)
+    return np.flatnonzero(np.cumsum(change[:-1]) > 0)
+
+
+def leaks(hashes: np.ndarray, hits: dict[int, np.ndarray], items: Items, *, percent: int, radius: int, blocks: int) -> list[tuple[int, float, int, int, int]]:
     """``(item, similarity, first word, words, windows)``: each item's best window, the first on ties.
 
     ``hits`` has the words at which a shingle of an item of each size begins.
     """
     out: dict[int, list] = {}
-    part = 64 // blocks
-    mask = np.uint64((1 << part) - 1)
-    shifts = [np.uint64(part * b) for b in range(blocks)]
     every = {width: _rolled(hashes, width) for width in {min(words, 5) for words in hits}}
     for words, places in sorted(hits.items()):
-        members, width = items.by_words[words], min(words, 5)
-        size = words - width + 1
-        rolled = every[width]
-        starts = np.unique((np.array(places)[:, None] - np.arange(size)).ravel())
-        starts = starts[(starts >= 0) & (starts <= len(hashes) - words)]
-        runs = np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1) if len(starts) else []
-        for run in runs:
-            low = int(run[0])
-            prints = fingerprints(rolled[low : int(run[-1]) + size], size)[run - low]
-            found = np.zeros((len(run), len(members)), bool)
-            for shift in shifts:
-                values, which = np.unique((items.prints[members] >> shift) & mask, return_inverse=True)
-                close = popcount(((prints >> shift) & mask)[:, None] ^ values[None, :]) <= radius // blocks
-                found |= close[:, which]
-            rows, cols = np.nonzero(found)
-            near = popcount(prints[rows] ^ items.prints[members[cols]]) <= radius
+        members, rolled = items.by_words[words], every[min(words, 5)]
+        full = words - min(words, 5) + 1
+        size = min(full, len(rolled))
+        if 100 * size < percent * full:
+            continue
+        for some, prints in _windows(rolled, _starts(places, size, len(rolled) - size), size):
+            rows, cols = candidates(prints, items.prints[members], radius, blocks)
+            near = np.bitwise_count(prints[rows] ^ items.prints[members[cols]]).sum(axis=1, dtype=np.int64) <= radius
             for r, c in zip(rows[near].tolist(), cols[near].tolist(), strict=True):
-                item, start = int(members[c]), int(run[r])
-                least, most = _similar(rolled[start : start + size], items.bags[item])
+                item, start = int(members[c]), int(some[r])
+                a, b = items.bounds[item], items.bounds[item + 1]
+                least, most = _similar(rolled[start : start + size], items.shingles[a:b], items.counts[a:b])
                 if 100 * least >= percent * most:
-                    held = out.setdefault(item, [0.0, start, 0])
+                    held = out.setdefault(item, [0.0, start, 0, min(words, len(hashes))])
                     held[2] += 1
                     if least / most > held[0]:
                         held[:2] = [least / most, start]
-    return [(k, s, at, int(items.words[k]), n) for k, (s, at, n) in sorted(out.items())]
+    return [(k, s, at, words, n) for k, (s, at, n, words) in sorted(out.items())]
 
 
 def _each(array: pa.Array, items: Items, how: dict) -> Iterator[list]:
@@ -177,11 +228,11 @@ def _each(array: pa.Array, items: Items, how: dict) -> Iterator[list]:
         found = _hits(hashes, owner, items)
         for k in range(j - i):
             a, b = bounds[k], bounds[k + 1]
-            yield leaks(hashes[a:b], {words: [x - a for x in at] for words, at in found[k].items()}, items, **how) if k in found else []
+            yield leaks(hashes[a:b], {words: at - a for words, at in found[k].items()}, items, **how) if k in found else []
 
 
 def _passes(benchmark: DataFrame, pass_bytes: int) -> Iterator[Items]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(math.ceil(size / pass_bytes), 1)
     for k in range(n):
@@ -189,7 +240,7 @@ def _passes(benchmark: DataFrame, pass_bytes: int) -> Iterator[Items]:
         yield build([r["item_id"] for r in own], [r["text"] for r in own])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius: int = 28, blocks: int = 4, pass_bytes: int = 32 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius: int = 75, blocks: int = 8, pass_bytes: int = 32 << 20) -> DataFrame:
     """Benchmark items found in documents.
 
     Takes ``docs(doc_id, text)`` and ``benchmark(item_id, text)``; other columns
@@ -197,8 +248,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radi
     n_windows`` with one row for each document and item that it leaks: the best
     window (the first on ties) and how many windows reach the threshold.  Null
     and blank texts on either side match nothing; an item of fewer than five
-    words is one shingle and matches exactly.  Items that repeat an ``item_id``
-    are searched for each by itself.  Repeated documents each give their rows.
+    words is one shingle and matches exactly.  A document shorter than an item
+    is one window (``n_words`` is then its own number of words).  Items that
+    repeat an ``item_id`` are searched for each by itself, and so are items with
+    a null one, which stays null.  Repeated documents each give their rows.  An
+    empty table on either side gives an empty result, and texts of any length
+    are searched whole.
     """
     how = {"percent": percent, "radius": radius, "blocks": blocks}
     spark, out = docs.sparkSession, None
@@ -210,7 +265,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radi
             for batch in batches:
                 rows = [(k, *x) for k, found in enumerate(_each(batch.column(1), own, how)) for x in found]
                 k, item, sim, start, words, n = zip(*rows, strict=True) if rows else ((),) * 6
-                cols = [batch.column(0).take(pa.array(k, pa.int64())), pa.array(own.ids[list(item)] if item else [], pa.int64()), pa.array(sim, pa.float64()), *(pa.array(v, pa.int64()) for v in (start, words, n))]
+                cols = [batch.column(0).take(pa.array(k, pa.int64())), pa.array([own.ids[x] for x in item], pa.int64()), pa.array(sim, pa.float64()), *(pa.array(v, pa.int64()) for v in (start, words, n))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "similarity", "start_word", "n_words", "n_windows"])
 
         found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long, n_words long, n_windows long")
@@ -218,8 +273,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radi
     return out
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius: int = 28, blocks: int = 4, pass_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of ``docs`` that leak no item, all columns kept; no shuffle."""
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius: int = 75, blocks: int = 8, pass_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` that leak no item, all columns kept; no shuffle.
+
+    Each row is judged by its text alone: ids, repeats and columns named as in
+    ``benchmark`` play no part.  Null and blank texts stay, and so does every
+    row if the benchmark is empty.
+    """
     how = {"percent": percent, "radius": radius, "blocks": blocks}
     spark, at = docs.sparkSession, docs.columns.index("text")
     for items in _passes(benchmark, pass_bytes):

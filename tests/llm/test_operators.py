@@ -369,10 +369,11 @@ def brute_leaks(texts, items, percent=75):
                 continue
             width, n = min(len(v), 5), len(v)
             bag = Counter(tuple(v[k : k + width]) for k in range(n - width + 1))
-            for s in range(len(w) - n + 1):
-                own = Counter(tuple(w[k : k + width]) for k in range(s, s + n - width + 1))
+            m = min(n, len(w))
+            for s in range(len(w) - m + 1 if m >= width else 0):
+                own = Counter(tuple(w[k : k + width]) for k in range(s, s + m - width + 1))
                 least = sum((own & bag).values())
-                most = 2 * (n - width + 1) - least
+                most = sum((own | bag).values())
                 if 100 * least >= percent * most:
                     key = (d, i)
                     if least / most > out.get(key, (0,))[0]:
@@ -397,6 +398,9 @@ def test_leaks(spark, pass_bytes):
             w[at:at] = leak
         texts.append((d, " ".join(w)))
     texts += [(60, None), (61, ""), (None, items[3][1])]
+    long = max((x for _, x in items if x), key=len).split()
+    items.append((None, " ".join(f"n{k}" for k in range(12))))
+    texts += [(62, " ".join(long[:-2])), (63, " ".join(long[:12])), (64, "before " + items[-1][1])]
     frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = brute_leaks(texts, items)
@@ -407,6 +411,30 @@ def test_leaks(spark, pass_bytes):
     assert decontam.find_leaks(frame, bench.where("false")).count() == 0 and decontam.find_leaks(frame.where("false"), bench).count() == 0
 
 
+def test_leak_index():
+    """Every pair within the radius is found, and windows at the threshold lie within it."""
+    rng = np.random.default_rng(7)
+    passed = far = 0
+    for _ in range(300):
+        item = rng.integers(0, 2**63, rng.integers(7, 60)).astype(np.uint64)
+        window = item.copy()
+        window[rng.permutation(len(item))[: len(item) // 7]] = rng.integers(0, 2**63, len(item) // 7).astype(np.uint64)
+        a, b = decontam._whole(item)[None], decontam.fingerprints(window, len(window))
+        far = max(far, int(np.bitwise_count(a ^ b).sum()))
+        assert len(decontam.candidates(b, a, 75, 8)[0]) == 1
+        other = decontam._whole(rng.integers(0, 2**63, 30).astype(np.uint64))[None]
+        passed += len(decontam.candidates(other, a, 75, 8)[0])
+    assert far <= 75 and passed < 60
+
+
+def test_leak_long(spark):
+    item = " ".join(f"x{k}" for k in range(3000))
+    text = "a " * 400000 + item + " b" * 9
+    docs = spark.createDataFrame([(1, text), (2, "a " * 600000)], "doc_id long, text string")
+    found = decontam.find_leaks(docs, spark.createDataFrame([(5, item), (6, " ".join(item.split()[50:90]))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["start_word"], r["n_words"]) for r in found] == [(1, 5, 400000, 3000), (1, 6, 400050, 40)]
+
+
 # -- 8 ---------------------------------------------------------------------------------
 
 
