@@ -291,3 +291,36 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, ra
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL
+), t AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), i AS (
+  SELECT item, item_id, w, least(len(w), 5) AS width, len(w) - least(len(w), 5) + 1 AS size FROM t WHERE len(w) > 0
+), bag AS (
+  SELECT item, width, shingle, COUNT(*) AS n FROM (SELECT item, width, unnest(list_transform(range(1, size + 1), lambda k: array_to_string(w[k:k + width - 1], ' '))) AS shingle FROM i) GROUP BY ALL
+), known AS (
+  SELECT DISTINCT width, shingle FROM bag
+), one AS (
+  SELECT doc_id, len(w) AS n_doc, width, unnest(range(0, len(w) - width + 1)) AS pos, unnest(list_transform(range(1, len(w) - width + 2), lambda k: array_to_string(w[k:k + width - 1], ' '))) AS shingle
+  FROM d, (SELECT DISTINCT width FROM i) WHERE len(w) >= width
+), seen AS (
+  SELECT one.* FROM one SEMI JOIN known USING (width, shingle)
+), hits AS (
+  SELECT doc_id, item, pos, shingle, n, width, n_doc, i.size AS full_size, least(i.size, n_doc - width + 1) AS size FROM seen JOIN bag USING (width, shingle) JOIN i USING (item, width)
+), starts AS (
+  SELECT DISTINCT doc_id, item, full_size, size, unnest(range(greatest(pos - size + 1, 0), least(pos, n_doc - width + 1 - size) + 1)) AS start FROM hits WHERE 100 * size >= 75 * full_size
+), shared AS (
+  SELECT s.doc_id, s.item, s.start, s.size, s.full_size, least(COUNT(*), any_value(h.n)) AS n
+  FROM starts s JOIN hits h ON h.doc_id = s.doc_id AND h.item = s.item AND h.pos BETWEEN s.start AND s.start + s.size - 1 GROUP BY s.doc_id, s.item, s.start, s.size, s.full_size, h.shingle
+), alike AS (
+  SELECT doc_id, item, start, size, CAST(SUM(n) AS BIGINT) AS low, CAST(size + full_size - SUM(n) AS BIGINT) AS high FROM shared GROUP BY doc_id, item, start, size, full_size
+)
+SELECT doc_id, item_id, MAX(CAST(low AS DOUBLE) / high) AS similarity, CAST(arg_min(start, (-(CAST(low AS DOUBLE) / high), start)) AS BIGINT) AS start_word,
+  CAST(any_value(alike.size) + any_value(width) - 1 AS BIGINT) AS n_words, COUNT(*) AS n_windows
+FROM alike JOIN i USING (item) WHERE 100 * low >= 75 * high GROUP BY doc_id, item, item_id
+"""

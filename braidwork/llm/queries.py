@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": embed_dedup.SQL, "op5_minhash_near_dedup": minhash.SQL, "op6_chat_format": chat_format.SQL}
+    return {"op2_embedding_near_dedup": embed_dedup.SQL, "op5_minhash_near_dedup": minhash.SQL, "op6_chat_format": chat_format.SQL, "op7_decontamination": decontam.SQL}
