@@ -43,7 +43,8 @@ def total(rows: DataFrame, size: int) -> dict[str, np.ndarray]:
     for keys in (["name", "chunk", "spread"], ["name", "chunk"]):
         rows = rows.groupBy(*keys).applyInArrow(_add, KIND)
     out: dict[str, np.ndarray] = {}
-    for r in rows.select("name", "chunk", "seen").toLocalIterator():
-        at = r["chunk"] * CHUNK
-        out.setdefault(r["name"], np.zeros(size, np.int64))[at : at + CHUNK] = np.frombuffer(r["seen"], np.int64)
+    sums = rows.select("name", "chunk", "seen").toArrow()  # at most ``size`` numbers a name, in one job
+    for name, chunk, seen in zip(sums["name"].to_pylist(), sums["chunk"].to_pylist(), sums["seen"].to_pylist(), strict=True):
+        at = chunk * CHUNK
+        out.setdefault(name, np.zeros(size, np.int64))[at : at + CHUNK] = np.frombuffer(seen, np.int64)
     return out

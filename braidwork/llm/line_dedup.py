@@ -412,8 +412,9 @@ def _filter(marks: DataFrame) -> np.ndarray:
         return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     out = np.zeros((1 << _FILTER_BITS) // 8, np.uint8)
-    for r in marks.distinct().groupBy("chunk").applyInArrow(gather, "chunk int, bits binary").toLocalIterator():
-        out[r["chunk"] << 13 : (r["chunk"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    found = marks.distinct().groupBy("chunk").applyInArrow(gather, "chunk int, bits binary").toArrow()  # no more than ``out``
+    for chunk, bits in zip(found["chunk"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[chunk << 13 : (chunk + 1) << 13] = np.frombuffer(bits, np.uint8)
     return out
 
 
