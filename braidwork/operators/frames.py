@@ -8,9 +8,11 @@ from enum import Enum
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..errors import FrameKindError, MissingColumnsError, NoSelectedColumnsError
 from ..functions.casts import conform_column, conform_series
@@ -35,11 +37,35 @@ def frame_kind(frame: Any) -> FrameKind:
     raise FrameKindError(f"{type(frame)} is not a dataframe of a supported kind")
 
 
+def _created(frame: pd.DataFrame, spark: SparkSession) -> DataFrame:
+    """A Spark frame in which missing values are null, whether the session converts by Arrow or row by row.
+
+    Row by row, Spark finds no type for a column of nulls, refuses ``pd.NA`` and
+    keeps NaN; so columns of nulls get the type that Arrow has for them, and
+    others hold None.
+    """
+    by_arrow = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled", "false").lower() == "true"
+    held, columns = {}, []
+    for k, (name, values) in enumerate(frame.items()):
+        there = values.notna()
+        if not there.any():
+            kind = pa.Array.from_pandas(values).type
+            null = F.lit(None).cast(from_arrow_type(kind.value_type if pa.types.is_dictionary(kind) else kind))
+            held[f"c{k}"] = pd.Series(0, index=frame.index)
+        elif not (by_arrow or there.all() or values.dtype.kind == "M"):  # rows of times have None for NaT
+            plain = pd.Series(values.dt.to_pytimedelta(), frame.index, object) if values.dtype.kind == "m" else values.astype(object)
+            held[f"c{k}"] = plain.where(there, None)
+        else:
+            held[f"c{k}"] = values
+        columns.append((F.col(f"c{k}") if there.any() else null).alias(str(name)))
+    return spark.createDataFrame(pd.DataFrame(held)).select(*columns)
+
+
 def from_pandas(frame: pd.DataFrame, spark: SparkSession, schema: Schema | None = None) -> DataFrame:
     """A Spark frame with the declared types of its columns; an empty one without a schema has strings."""
     declared = {c.name: c.type for c in schema.columns} if schema is not None and schema.typed() else {}
     if not frame.empty:
-        out = spark.createDataFrame(frame)
+        out = _created(frame, spark)
         quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
         return out.select(*(conform_column(quoted(f.name), f.dataType, declared[f.name]).alias(f.name) if f.name in declared else quoted(f.name) for f in out.schema.fields)) if declared else out
     if set(frame.columns) <= set(declared):

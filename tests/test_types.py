@@ -2,12 +2,14 @@
 
 import datetime
 import decimal
+import os
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from braidwork import queries
 from braidwork import (
     Binary, Boolean, Byte, Column, Date, DateFormat, DateTime, Decimal, Double, Float, Integer, Long, Schema, Short, String, Unknown, config_context, get_config, node,
 )
@@ -148,6 +150,26 @@ def test_views_and_relationships():
     Column("x", Long()).one_to_many(a.output_schema.k)
 
 
+def test_pandas_without_the_session_s_arrow(spark):
+    """Nulls, missing numbers and times arrive alike, whether the session converts by Arrow or row by row."""
+    name = "spark.sql.execution.arrow.pyspark.enabled"
+    times = pd.to_datetime(pd.Series(["2024-01-02 03:04:05.123456", None]))
+    pdf = pd.DataFrame({"a": pd.array([1, None], "Int64"), "none": [None, None], "x": [0.5, float("nan")], "s": ["y", None], "t": times, "d": times - times[0], "l": [[1], None], "nat": pd.to_datetime(pd.Series([None, None])), "nan": [float("nan")] * 2, "c": pd.Categorical([None, None]), "`q.": [1, 2]})
+    schema = Schema(Column("a", Integer()), Column("none", String()))
+    with_arrow = from_pandas(pdf, spark, schema)
+    spark.conf.set(name, "false")
+    try:
+        without, bare = from_pandas(pdf, spark, schema), from_pandas(pdf[["none"]], spark)
+        core = queries.queries()["pandas_types"](spark, "/root/testdata/sf0.001") if os.path.isdir("/root/testdata/sf0.001") else None
+        assert without.schema == with_arrow.schema and without.collect() == with_arrow.collect()
+        assert without.schema["a"].dataType == T.IntegerType() and without.schema["none"].dataType == T.StringType() and without.collect()[1]["x"] is None
+        assert bare.collect() == [(None,), (None,)] and [with_arrow.schema[c].dataType for c in ("nat", "nan")] == [T.TimestampType(), T.DoubleType()]
+        assert core is None or core.where("note is null").count() == 25 and core.where("region is null").count() == 5
+        assert [r["m"] for r in from_pandas(spark.sql("SELECT named_struct('k', 1) AS m, NULL AS none").toPandas(), spark).collect()] == [(1,)]
+    finally:
+        spark.conf.set(name, "true")
+
+
 def test_config(monkeypatch):
     assert get_config("node_run_max_workers") == 1
     monkeypatch.setenv("BRAIDWORK_NODE_RUN_MAX_WORKERS", "3")
