@@ -81,14 +81,17 @@ def slices(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
 
 def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words; a word never crosses a text's border."""
-    word = ~SPACE[data]
-    starts, ends = word.copy(), word.copy()
-    starts[1:] &= ~word[:-1]
-    ends[:-1] &= ~word[1:]
-    edge = offsets[(offsets > 0) & (offsets < len(data))]
-    starts[edge] = word[edge]
-    ends[edge - 1] = word[edge - 1]
-    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word = (data != 0x20) & (data - np.uint8(0x09) > 4)
+    turn = np.empty(len(data) + 1, bool)
+    turn[0], turn[-1] = word[0], word[-1]
+    np.not_equal(word[1:], word[:-1], out=turn[1:-1])
+    at = np.flatnonzero(turn)  # starts and ends by turns
+    edge = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    edge = edge[word[edge] & word[edge - 1]]
+    at = np.insert(at, np.repeat(np.searchsorted(at, edge), 2), np.repeat(edge, 2))
+    return at[::2], at[1::2]
 
 
 def _piece(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +99,17 @@ def _piece(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    hashes = total[ends]
+    hashes -= total[starts]
+    hashes *= down[starts]
+    hashes += (ends - starts).view(np.uint64)
+    return mix(hashes), starts, ends
+
+
+def places(starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Number of the ``bounds`` at or before each of the rising ``starts``."""
+    upto = np.searchsorted(starts, bounds)
+    return np.repeat(np.arange(len(bounds) + 1), np.diff(np.r_[0, upto, len(starts)]))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,8 +133,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
             at = cut
         hashes = np.concatenate([p[0] for p in parts])
         starts = np.concatenate([p[1] for p in parts])
-    owner = np.searchsorted(offsets, starts, side="right") - 1
-    return hashes, starts, owner
+    return hashes, starts, places(starts, offsets) - 1
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int = 5) -> list[np.ndarray]:

@@ -65,11 +65,11 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return a frame that reads the files."""
+    def save(self, df: DataFrame, name: str, *, hashes: bool = False) -> DataFrame:
+        """Write ``df`` as Parquet and return a frame that reads the files; columns of ``hashes`` are not worth a dictionary."""
         path = self.path(name)
         with freed_shuffles(self.spark):
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         self._live.append(path)

@@ -11,7 +11,8 @@ order of ``doc_id`` and line number; where different texts share a ``doc_id``
    need not be exact for the join to be, only the same everywhere.
 2. Each line gives its size, a 128-bit key of its set, its prefix (the words of
    which two similar lines must share one) and a parity bitmap.  Equal sets are
-   one class with its first line; thousands of equal lines cost one row.
+   one class with its first line; equal lines of a block of texts are one row
+   before they are dealt out, so thousands of equal lines cost few rows.
 3. Classes meet by word.  A word that more than ``often`` prefixes hold is
    joined with a second word of the line: similar lines share two words of
    prefixes that are one word longer, so their lists stay short where single
@@ -47,7 +48,7 @@ _SHORT = 48  # sets up to this size have one word: theirs, folded
 _SURE = 600
 _BITS = [f"b{k}" for k in range(_WORDS)]
 _KEY = ["doc", "line", "k1"]
-_LINE = "doc long, line int, h long, k1 long, k2 long, n int, prefix binary, " + ", ".join(f"{b} long" for b in _BITS)
+_LINE = "doc long, line int, h long, k1 long, k2 long, n int, prefix binary, " + ", ".join(f"{b} long" for b in _BITS) + ", m int"
 _PAIR = "doc long, line int, k1 long, doc2 long, line2 int, k12 long, ratio int, more boolean"
 #: The fields of an entry of a list, packed one after the other.
 _ENTRY = {"word": np.uint32, "doc": np.int64, "line": np.int32, "k1": np.int64, "n": np.int32, "at": np.int32, "open": np.uint8, **{b: np.int64 for b in _BITS}}
@@ -59,29 +60,51 @@ _FILTER_BITS = 26
 def _tokens(array: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows ``i`` to ``j``, each word's hash, its row less ``i`` and its line's number in the text."""
     data, offsets = tx.buffers(array)
-    for i, j in tx.slices(offsets):
+    for i, j in tx.slices(offsets, 1 << 18):
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         hashes, starts, owner = tx.words(part, own)
         breaks = np.flatnonzero(part == 10)
-        line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, own[:-1])[owner]
+        line = tx.places(starts, breaks) - np.searchsorted(breaks, own[:-1])[owner]
         yield i, j, hashes, owner, line
 
 
+def _hashes(array: pa.Array) -> Iterator[np.ndarray]:
+    """The words' hashes alone."""
+    data, offsets = tx.buffers(array)
+    for i, j in tx.slices(offsets, 1 << 17):  # temporary arrays stay in the cache
+        yield tx.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]
+
+
+def _counted(parts: Iterator[np.ndarray], buckets: int) -> np.ndarray:
+    """How often each bucket is in ``parts``; the table is only passed over once for every so many numbers."""
+    seen, held, n = np.zeros(buckets, np.int64), [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n > 2 * buckets:
+            seen += np.bincount(np.concatenate(held), minlength=buckets)
+            held, n = [], 0
+    return seen + np.bincount(np.concatenate(held), minlength=buckets) if held else seen
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of short rows put together, up to ``rows`` rows or ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def word_order(docs: DataFrame, buckets: int) -> np.ndarray:
     """Place of each hash bucket when buckets are in order of their words' count."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held = np.zeros(buckets, np.int64), []
-        for batch in batches:
-            for _, _, hashes, _, _ in _tokens(batch.column(0)):
-                held.append((hashes >> shift).astype(np.int32))
-                if sum(map(len, held)) > 2 * buckets:
-                    seen += np.bincount(np.concatenate(held), minlength=buckets)
-                    held = []
-        if held:
-            seen += np.bincount(np.concatenate(held), minlength=buckets)
-        yield from pack("words", seen)
+        yield from pack("words", _counted(((hashes >> shift).astype(np.int32) for batch in batches for hashes in _hashes(batch.column(0))), buckets))
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(count, KIND)
     seen = total(rows, buckets).get("words", np.zeros(buckets, np.int64))
@@ -123,6 +146,15 @@ def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
+def _copies(k1: np.ndarray, k2: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """The number of rows of each set, at its first row in order of ``place``; 0 at the others."""
+    by = np.lexsort((*place[::-1], k2, k1))
+    at = np.flatnonzero(np.r_[True, (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])])
+    out = np.zeros(len(by), np.int32)
+    out[by[at]] = np.diff(np.r_[at, len(by)])
+    return out
+
+
 def _lines(docs: DataFrame, place, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +167,14 @@ def _lines(docs: DataFrame, place, percent: int) -> DataFrame:
                     bit, where = np.uint64(1) << (spread & np.uint64(63)), (spread >> np.uint64(6)) % np.uint64(_WORDS)
                     maps = [np.bitwise_xor.reduceat(np.where(where == k, bit, np.uint64(0)), low) for k in range(_WORDS)]
                     maps = [np.where(n <= _SHORT, maps[0] ^ maps[1], maps[0]), np.where(n <= _SHORT, np.uint64(0), maps[1])]
-                    size = np.minimum(n - _needed(n, percent) + 2, n)  # one word more, for pairs of words
+                    row = i + group // top
+                    number = (group % top).astype(np.int32)
+                    copies = _copies(k1, k2, ids[row], number, marks[row])
+                    size = np.where(copies > 0, np.minimum(n - _needed(n, percent) + 2, n), 0)  # one word more, for pairs of words
                     place_in = np.arange(len(words)) - np.repeat(low, n)
                     kept = (spread[place_in < np.repeat(size, n)] >> np.uint64(32)).astype(np.uint32)  # equal words stay equal; the rest is for the verification
-                    row = i + group // top
-                    cols = [pa.array(ids[row]), pa.array((group % top).astype(np.int32)), pa.array(marks[row]), *(pa.array(k.view(np.int64)) for k in (k1, k2)), pa.array(n.astype(np.int32)), _binary(kept, size), *(pa.array(m.view(np.int64)) for m in maps)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "line", "h", "k1", "k2", "n", "prefix", *_BITS])
+                    cols = [pa.array(ids[row]), pa.array(number), pa.array(marks[row]), *(pa.array(k.view(np.int64)) for k in (k1, k2)), pa.array(n.astype(np.int32)), _binary(kept, size), *(pa.array(m.view(np.int64)) for m in maps), pa.array(copies)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "line", "h", "k1", "k2", "n", "prefix", *_BITS, "m"])
 
     return docs.select("doc", "h", "text").mapInArrow(run, _LINE)
 
@@ -167,10 +201,7 @@ def frequent_words(classes: DataFrame, work: Workspace, percent: int, often: int
     shift = np.uint32(32 - (buckets.bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(buckets, np.int64)
-        for batch in batches:
-            seen += np.bincount(_prefixes(batch, percent)[2] >> shift, minlength=buckets)
-        yield from pack("words", seen)
+        yield from pack("words", _counted((_prefixes(batch, percent)[2] >> shift for batch in batches), buckets))
 
     seen = total(classes.select("n", "prefix").mapInArrow(count, KIND), buckets).get("words", np.zeros(buckets, np.int64))
     full = classes.sparkSession.sparkContext.broadcast(seen > often)
@@ -218,7 +249,7 @@ def _spread(classes: DataFrame, percent: int, parts: int, frequent, wanted=None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 1)
-        for batch in batches:
+        for batch in _gathered(batches):
             batch = _marked(batch, held)
             row, at, word = _keys(batch, percent, frequent.value)
             if wanted is not None:
@@ -505,9 +536,9 @@ def repeated_lines(docs: DataFrame, work: Workspace, *, percent: int = 75, bucke
         raise ValueError("percent must be over 50: similar lines then share two words at least")
     context = docs.sparkSession.sparkContext
     place = context.broadcast(word_order(docs, buckets))
-    lines = work.save(_lines(docs, place, percent), "lines")
-    first = [F.min(F.struct("doc", "line", "h")).alias("first"), (F.count("*") > 1).alias("many"), *(F.first(c).alias(c) for c in ("n", "prefix", *_BITS))]
-    classes = work.save(lines.groupBy("k1", "k2").agg(*first).select("k1", "k2", "first.*", "many", "n", "prefix", *_BITS), "classes")
+    lines = work.save(_lines(docs, place, percent), "lines", hashes=True)
+    first = [F.min(F.struct("doc", "line", "h")).alias("first"), (F.sum("m") > 1).alias("many"), *(F.first(c).alias(c) for c in ("n", "prefix", *_BITS))]
+    classes = work.save(lines.where("m > 0").repartition("k1", "k2").groupBy("k1", "k2").agg(*first).select("k1", "k2", "first.*", "many", "n", "prefix", *_BITS), "classes", hashes=True)
     entries, words = frequent_words(classes, work, percent, often, buckets)
     parts, frequent = max(math.ceil(entries / part_entries), 1), context.broadcast(words)
     lists = _spread(classes, percent, parts, frequent)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braidwork.llm import _text, chat_format, decontam, embed_dedup, lang_id, line_dedup, lm_score, minhash, mixing, quality, suffix_dedup
+from braidwork.llm import _counts, _text, chat_format, decontam, embed_dedup, lang_id, line_dedup, lm_score, minhash, mixing, quality, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -87,6 +88,18 @@ def test_words_are_split_like_bytes_and_fold_ascii_only():
             assert (hashes[i] == hashes[j]) == (flat[i] == flat[j])
 
 
+def test_spans_of_any_bytes():
+    rng = random.Random(5)
+    for _ in range(300):
+        texts = [bytes(rng.choice(b"aB \t\n\r\x0e\x08\xc3") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 5))]
+        data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+        hashes, starts, owner = _text.words(data, bounds)
+        expected = [(k, w.lower()) for k, t in enumerate(texts) for w in re.findall(rb"[^\x20\x09-\x0D]+", t)]
+        assert owner.tolist() == [k for k, _ in expected]
+        assert all(data[a : a + len(w)].tobytes().lower() == w for a, (_, w) in zip(starts.tolist(), expected, strict=True))
+        assert len({*hashes.tolist()}) == len({w for _, w in expected})
+
+
 def test_long_text_is_hashed_like_its_pieces():
     text = b"lorem ipsum dolor " * 80_000
     data = np.frombuffer(text, np.uint8)
@@ -513,6 +526,23 @@ def test_lines_of_different_texts_under_one_id(spark):
     assert len(removed) > 20
 
 
+def test_equal_lines_of_a_block_are_dealt_out_once(spark):
+    texts = spark.createDataFrame([(k, k, "many equal words here\nand a line of its own " + "x" * k) for k in range(40)], "doc long, h long, text string").coalesce(1)
+    lines = line_dedup._lines(texts, spark.sparkContext.broadcast(np.arange(1 << 10, dtype=np.uint64)), 75)
+    equal = [r for r in lines.collect() if r["line"] == 0]
+    assert len(equal) == 40 and [(r["doc"], r["m"]) for r in equal if r["m"]] == [(0, 40)]
+    assert all(len(r["prefix"]) == (12 if r["m"] else 0) for r in equal)  # 75 of 4 words: two, and one more
+    assert all(r["m"] == 1 for r in lines.collect() if r["line"] == 1)
+
+
+def test_counts_take_few_bytes():
+    for values, width in (([0, 255], 1), ([1, 256], 2), ([1, 1 << 16], 4), ([1, 1 << 40], 8), ([-1, 5], 8)):
+        thin = _counts._thin(np.array(values, np.int64))
+        assert len(thin) == 1 + 2 * width and _counts._wide(thin).tolist() == values
+    parts = [np.array([1, 1, 3]), np.array([3] * 40), np.array([0])]
+    assert line_dedup._counted(iter(parts), 4).tolist() == [1, 2, 0, 41] and line_dedup._counted(iter([]), 2).tolist() == [0, 0]
+
+
 def test_lines_edges(spark, odd):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     out = line_dedup.dedup_lines(odd)
